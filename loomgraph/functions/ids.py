@@ -12,7 +12,7 @@ def _col(c: Column | str) -> Column:
 
 def strip_blanks(c: Column | str) -> Column:
     """Without the white space (also tabs and line ends) around it."""
-    return F.regexp_replace(_col(c), r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
 
 
 def node_key(c: Column | str) -> Column:

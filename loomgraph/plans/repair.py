@@ -104,7 +104,7 @@ QUERIES = {
     "p5_kinds": _profile("kind"),
 }
 
-_KEY = r"regexp_replace(replace(regexp_replace({c}, '^[\s ]+|[\s ]+$', '', 'g'), chr(92), '/'), '/{{2,}}', '/', 'g')"
+_KEY = r"regexp_replace(replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), chr(92), '/'), '/{{2,}}', '/', 'g')"
 _PARENTS = r"""rows_ AS (SELECT nullif(lower(regexp_replace(parent_id, '^\s+|\s+$', '', 'g')), '') p,
        nullif(lower(regexp_replace(child_id, '^\s+|\s+$', '', 'g')), '') c, recorded_at t FROM dag_edges),
  latest AS (SELECT c AS node, p AS parent FROM rows_ WHERE c IS NOT NULL
