@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import read
-from . import encode
+from . import encode, licenses
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    reader = licenses.train_reader(read(spark, d, "license_list"))
+    return licenses.resolve_licenses(read(spark, d, "files"), read(spark, d, "licenses"), read(spark, d, "registry"), reader)
+
+
+def p4_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Files and repositories by license, conflicts and unknowns among them."""
+    return p4_found(spark, d).groupBy("scope", "license").count().withColumnRenamed("count", "items")
+
+
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
