@@ -17,41 +17,43 @@ TRACKED = 4096
 MERGE_GROUPS = 64
 
 
-def heavy_keys(df: DataFrame, key: str, share: float, by: str | None = None, exact: bool = True) -> DataFrame:
-    """The values of ``key`` that hold at least ``share`` of the rows (of each ``by`` value).
-
-    Returns ``[by,] key, rows, total``; ``rows`` and ``total`` are exact if ``exact``. Null keys
-    are no values, but their rows count in ``total``. An empty table gives no rows. With
-    ``exact=False`` the result may hold values a little below the share and ``rows`` is the
-    sketch's estimate.
+def _likely(df: DataFrame, key: str, share: float, groups: list[str]) -> DataFrame:
+    """``[groups,] __h, total``: hashes of the keys that may reach the share, from one pass over ``df``.
 
-    The sketch is over 64-bit hashes, so its size doesn't depend on the length of the values;
-    values that share a hash are told apart by the exact count. At most ``1 / (share - error)``
-    hashes can reach the share, which is the proven bound of the broadcast.
+    The sketch is over 64-bit hashes, so its size doesn't depend on the length of the values. At
+    most ``1 / (share - error)`` hashes can reach the share: the proven bound of all broadcasts here.
     """
     if not 0.001 <= share <= 1:
         raise ValueError("share must be from 0.001 to 1")
-    groups = [by] if by else []
     k = min(TRACKED // 2, int(2 / share) + 16)
-    hashed = df.select(*groups, key, F.xxhash64(key).alias("__h"))
-    totals = hashed.select(*groups, F.when(F.col(key).isNotNull(), F.col("__h")).alias("__h"))
+    hashed = df.select(*groups, F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias("__h"))
     part = (F.spark_partition_id() % MERGE_GROUPS).alias("__g")
     sketch = (
-        totals.groupBy(*groups, part)
+        hashed.groupBy(*groups, part)
         .agg(F.expr(f"approx_top_k_accumulate(__h, {TRACKED})").alias("__s"), F.count(F.lit(1)).alias("__n"))
         .groupBy(*groups)
         .agg(F.expr(f"approx_top_k_combine(__s, {TRACKED})").alias("__s"), F.sum("__n").alias("total"))
     )
-    error = 2.0 / TRACKED
-    likely = (
+    return (
         sketch.select(*groups, "total", F.explode(F.expr(f"approx_top_k_estimate(__s, {k})")).alias("__e"))
         .select(*groups, "total", F.col("__e.item").alias("__h"), F.col("__e.count").alias("__c"))
-        .filter(F.col("__h").isNotNull() & (F.col("__c") >= F.col("total") * (share - error)))
+        .filter(F.col("__h").isNotNull() & (F.col("__c") >= F.col("total") * (share - 2.0 / TRACKED)))
+        .drop("__c")
     )
-    near = hashed.filter(F.col(key).isNotNull()).join(F.broadcast(likely), [*groups, "__h"])
+
+
+def heavy_keys(df: DataFrame, key: str, share: float, by: str | None = None) -> DataFrame:
+    """The values of ``key`` that hold at least ``share`` of the rows (of each ``by`` value).
+
+    Returns ``[by,] key, rows, total``, all exact: the sketch names the candidates, a second pass
+    counts them. Values that share a hash are told apart by that count. Null keys are no values,
+    but their rows count in ``total``. An empty table gives no rows.
+    """
+    groups = [by] if by else []
+    near = df.select(*groups, key, F.xxhash64(key).alias("__h")).filter(F.col(key).isNotNull())
+    near = near.join(F.broadcast(_likely(df, key, share, groups)), [*groups, "__h"])
     counted = near.groupBy(*groups, key).agg(F.count(F.lit(1)).alias("rows"), F.first("total").alias("total"))
-    # rows and total are below 2**53 in any table that fits a cluster, so the product is exact enough
-    return counted.filter(F.col("rows") >= F.col("total") * F.lit(share)) if exact else counted
+    return counted.filter(F.col("rows") >= F.col("total") * F.lit(share))
 
 
 def split_lookup(
@@ -63,11 +65,9 @@ def split_lookup(
     are broadcast together with their one row of ``lookup``, so their facts stay where they are;
     the others are shuffled. ``how`` is ``left`` or ``inner``. Null keys match nothing.
     """
-    # the distinct keys of the heavy set: bounded by 1 / (share - error) rows
-    heavy = heavy_keys(facts.select(key), key, share, exact=False).select(key).withColumn("__heavy", F.lit(True))
-    heavy = F.broadcast(heavy)
-    marked = facts.join(heavy, key, "left")
-    hot_rows = lookup.join(heavy, key, "inner").drop("__heavy")
+    heavy = F.broadcast(_likely(facts.select(key), key, share, []).select("__h", F.lit(True).alias("__heavy")))
+    marked = facts.withColumn("__h", F.xxhash64(key)).join(heavy, "__h", "left").drop("__h")
+    hot_rows = lookup.withColumn("__h", F.xxhash64(key)).join(heavy, "__h", "left_semi").drop("__h")
     hot = marked.filter(F.col("__heavy")).drop("__heavy").join(F.broadcast(hot_rows), key, how)
     rest = marked.filter(F.col("__heavy").isNull()).drop("__heavy").join(lookup, key, how)
     return hot.unionByName(rest)
