@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import read
-from . import encode, licenses
+from . import encode, licenses, subjects
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -22,5 +22,14 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("scope", "license").count().withColumnRenamed("count", "items")
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.find_subjects(read(spark, d, "documents"), read(spark, d, "subject_examples"))
+
+
+def p8_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus: documents of each subject, and their share of all documents."""
+    return subjects.makeup(p8_found(spark, d), read(spark, d, "documents"), read(spark, d, "subjects"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p6_ids": p6_ids, "p8_found": p8_found, "p8_makeup": p8_makeup}
 SQL: dict[str, str] = {}

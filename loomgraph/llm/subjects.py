@@ -54,6 +54,7 @@ _TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 _CJK = re.compile(r"[㐀-鿿]+")
 _CODE = re.compile(r"^\s*(#\s*(include|define|if|ifdef|ifndef|endif|pragma)\b|import\b.*['\";]|export\s|static\s|const\s|package\s.*;|def\s.*:|class\s.*[:{]|return\b|from\s+\S+\s+import\b|import\s+\w+$|[\w.]+\s*=[^=]|```)|[;{}]\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])")
+_ADDRESS = re.compile(r"\S+@\S+|\w+://\S+|\S*[0-9a-f]{12,}\S*")
 _MARKS = re.compile(r"^\s*(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+(?=\s)|>+|[-•](?=\s)|\d+\.(?=\s))\s*|\*+/\s*$")
 
 
@@ -105,11 +106,12 @@ def place(term: str) -> int:
     return zlib.crc32(term.encode("utf-8")) % PLACES
 
 
-def terms(sentence: str, common: frozenset[str]) -> list[str] | None:
+def terms(sentence: str, common: frozenset[str], known: np.ndarray | None = None) -> list[str] | None:
     """The phrases of a sentence; None if it has no words at all.
 
     A phrase is a run of up to LONGEST words that aren't common, with nothing but blanks or hyphens
-    between; the words of a longer run stand for themselves.
+    between; the words of a longer run stand for themselves. With ``known`` (by place) a run that
+    isn't a known phrase, as a slip of the pen makes them, gives the longest known phrases in it.
     """
     found = sentence_words(sentence)
     if not found:
@@ -118,13 +120,30 @@ def terms(sentence: str, common: frozenset[str]) -> list[str] | None:
     run: list[str] = []
     for word, joined in [*found, ("", False)]:
         if run and (not joined or word in common):
-            out += [" ".join(run)] if len(run) <= LONGEST else run
+            phrase = " ".join(run)
+            if known is not None and not (len(run) <= LONGEST and known[place(phrase)]):
+                out += _known_within(run, known)
+            else:
+                out += [phrase] if len(run) <= LONGEST else run
             run = []
         if word and word not in common:
             run.append(word)
     return out
 
 
+def _known_within(run: list[str], known: np.ndarray) -> list[str]:
+    at, out = 0, []
+    while at < len(run):
+        for n in range(min(LONGEST, len(run) - at), 0, -1):
+            if known[place(phrase := " ".join(run[at : at + n]))]:
+                out.append(phrase)
+                at += n
+                break
+        else:
+            at += 1
+    return out
+
+
 def _json_texts(text: str) -> str:
     """The strings of a JSON text, each as a paragraph; any other text as it is."""
     try:
@@ -140,14 +159,14 @@ def _json_texts(text: str) -> str:
     return "\n\n".join(out)
 
 
-def split_passages(text: str | None, common: frozenset[str]) -> Iterator[list[list[str]]]:
+def split_passages(text: str | None, common: frozenset[str], known: np.ndarray | None = None) -> Iterator[list[list[str]]]:
     """The terms of each sentence of each paragraph that has words."""
     if not text or not text.strip():
         return
     if text.lstrip()[:1] == "{":
         text = _json_texts(text)
     for paragraph in paragraphs(text.replace("\r\n", "\n").replace("\r", "\n")):
-        sentences = [t for s in _SENTENCE.split(paragraph) if (t := terms(s, common)) is not None]
+        sentences = [t for s in _SENTENCE.split(_ADDRESS.sub(". ", paragraph)) if (t := terms(s, common, known)) is not None]
         if sentences:
             yield sentences
 
@@ -176,16 +195,41 @@ class Seeds:
         return Seeds(sorted(counts), common, dict(counts))
 
 
-def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds) -> DataFrame:
+def known_phrases(documents: DataFrame, text: str, seeds: Seeds) -> np.ndarray:
+    """Which places hold a phrase that all documents together have at least LEAST_SEEN times."""
+    common = seeds.common
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for value in b.column(0):
+                for sentences in split_passages(value.as_py(), common):
+                    for found in sentences:
+                        total.update(found)
+        places: Counter = Counter()
+        for term, n in total.items():
+            places[place(term)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int32()), pa.array(list(places.values()), pa.int64())], ["place", "n"])
+
+    counted = documents.select(text).mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    often = counted.filter(F.col("n") >= LEAST_SEEN).select("place").toArrow().column("place").to_numpy()
+    known = np.zeros(PLACES, bool)
+    known[often] = True
+    known[[place(t) for c in seeds.counts.values() for t in c]] = True
+    return known
+
+
+def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, known: np.ndarray) -> DataFrame:
     """``key, sentences``: a row per paragraph, its sentences as arrays of term places."""
     kind = documents.schema[key].dataType.simpleString()
     common = seeds.common
+    sent = documents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, found = [], []
             for i, value in enumerate(b.column(1)):
-                for sentences in split_passages(value.as_py(), common):
+                for sentences in split_passages(value.as_py(), common, sent.value):
                     at.append(i)
                     found.append([[place(t) for t in s] for s in sentences])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "sentences"])
@@ -436,7 +480,23 @@ def find_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id"
     Without documents or examples the result is empty.
     """
     seeds = read_seeds(examples)
-    passages = without_set_wording(cut(passage_table(documents, key, text, seeds)))
+    known = known_phrases(documents, text, seeds)
+    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, known)))
     if not seeds.subjects:
         return assign(passages, SubjectModel(seeds, np.zeros((PLACES, 1), np.float32), [None]), key)
     return assign(passages, fit(passages, seeds), key)
+
+
+def makeup(found: DataFrame, documents: DataFrame, subjects: DataFrame) -> DataFrame:
+    """``subject, documents, share`` of each listed subject, and of documents without any (``none``).
+
+    ``share`` is of all documents; as a document may have several subjects the shares may add up to
+    more than one.
+    """
+    per = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    every = documents.agg(F.count(F.lit(1)).alias("n"))
+    some = found.agg(F.countDistinct(found.columns[0]).alias("k"))
+    listed = subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().join(per, "subject", "left").select("subject", F.coalesce("documents", F.lit(0)).alias("documents"))
+    none = every.crossJoin(some).select(F.lit("none").alias("subject"), (F.col("n") - F.col("k")).alias("documents"))
+    # one row of totals: the cross join adds no rows
+    return listed.unionByName(none).crossJoin(every).select("subject", "documents", F.round(F.col("documents") / F.greatest("n", F.lit(1)), 6).alias("share"))
