@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import read
-from . import encode, licenses, subjects
+from . import encode, licenses, mixing, subjects
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,14 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("scope", "license").count().withColumnRenamed("count", "items")
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "source_weights"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.find_subjects(read(spark, d, "documents"), read(spark, d, "subject_examples"))
 
@@ -31,5 +39,5 @@ def p8_makeup(spark: SparkSession, d: str) -> DataFrame:
     return subjects.makeup(p8_found(spark, d), read(spark, d, "documents"), read(spark, d, "subjects"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p6_ids": p6_ids, "p8_found": p8_found, "p8_makeup": p8_makeup}
+QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_makeup": p8_makeup}
 SQL: dict[str, str] = {}
