@@ -196,7 +196,12 @@ class Seeds:
 
 
 def known_phrases(documents: DataFrame, text: str, seeds: Seeds) -> np.ndarray:
-    """Which places hold a phrase that all documents together have at least LEAST_SEEN times."""
+    """The row in the model of each place, or -1.
+
+    Places have a row if they hold a phrase that all documents together have at least LEAST_SEEN
+    times, or one of a labelled passage. So what is sent to the workers has the size of the known
+    phrases, at most PLACES.
+    """
     common = seeds.common
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,25 +218,27 @@ def known_phrases(documents: DataFrame, text: str, seeds: Seeds) -> np.ndarray:
 
     counted = documents.select(text).mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= LEAST_SEEN).select("place").toArrow().column("place").to_numpy()
-    known = np.zeros(PLACES, bool)
-    known[often] = True
-    known[[place(t) for c in seeds.counts.values() for t in c]] = True
-    return known
+    places = np.union1d(often, [place(t) for c in seeds.counts.values() for t in c]).astype(int)
+    rows = np.full(PLACES, -1, np.int32)
+    rows[places] = np.arange(len(places))
+    return rows
 
 
-def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, known: np.ndarray) -> DataFrame:
-    """``key, sentences``: a row per paragraph, its sentences as arrays of term places."""
+def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, rows: np.ndarray) -> DataFrame:
+    """``key, sentences``: a row per paragraph, its sentences as arrays of the rows of their phrases."""
     kind = documents.schema[key].dataType.simpleString()
     common = seeds.common
-    sent = documents.sparkSession.sparkContext.broadcast(known)
+    sent = documents.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sent.value
+        known = rows >= 0
         for b in batches:
             at, found = [], []
             for i, value in enumerate(b.column(1)):
-                for sentences in split_passages(value.as_py(), common, sent.value):
+                for sentences in split_passages(value.as_py(), common, known):
                     at.append(i)
-                    found.append([[place(t) for t in s] for s in sentences])
+                    found.append([[int(rows[place(t)]) for t in s] for s in sentences])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "sentences"])
 
     return documents.select(key, text).mapInArrow(run, f"key {kind}, sentences array<array<int>>")
@@ -298,24 +305,25 @@ def _totals(table: DataFrame, height: int, width: int, per_batch) -> np.ndarray:
             for at in range(0, b.num_rows, 2000):
                 per_batch(b.slice(at, 2000).column(0), total)
         used = np.flatnonzero(total.any(1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, i].astype(np.float64)) for i in range(width))], ["place", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, i].astype(np.float64)) for i in range(width))], ["at", *names])
 
-    sums = table.select("sentences").mapInArrow(run, "place int, " + ", ".join(f"{n} double" for n in names)).groupBy("place").agg(*[F.sum(n).alias(n) for n in names])
+    sums = table.select("sentences").mapInArrow(run, "at int, " + ", ".join(f"{n} double" for n in names)).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
     got = sums.toArrow()
     out = np.zeros((height, width), np.float64)
     if got.num_rows:
-        out[got.column("place").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
+        out[got.column("at").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     return out
 
 
 @dataclass
 class SubjectModel:
     seeds: Seeds
+    rows: np.ndarray
     phi: np.ndarray
     subject_of: list[str | None]
 
 
-def fit(passages: DataFrame, seeds: Seeds, rounds: int = ROUNDS, free: int = FREE_TOPICS, seed: int = 11) -> SubjectModel:
+def fit(passages: DataFrame, seeds: Seeds, rows: np.ndarray, rounds: int = ROUNDS, free: int = FREE_TOPICS, seed: int = 11) -> SubjectModel:
     """Variational Bayes over all passages; a round is one distributed pass.
 
     Topics start from the corpus' word shares, the subjects' with their seeds on top. After each
@@ -328,18 +336,17 @@ def fit(passages: DataFrame, seeds: Seeds, rounds: int = ROUNDS, free: int = FRE
     def count(column, total):
         np.add.at(total[:, 0], _flat(column)[0], 1)
 
-    seen = _totals(passages, PLACES, 1, count)[:, 0]
+    size = int(rows.max()) + 1
+    seen = _totals(passages, size, 1, count)[:, 0]
     rng = np.random.default_rng(seed)
-    sown = np.zeros((PLACES, topics))
+    sown = np.zeros((size, topics))
     for k, subject in enumerate(seeds.subjects):
         for term, n in seeds.counts[subject].items():
-            sown[place(term), k] += n
-    used = (seen >= LEAST_SEEN) | (sown.sum(1) > 0)
-    base = np.where(used, seen + 0.1, 0)
-    base /= max(base.sum(), 1)
+            sown[rows[place(term)], k] += n
+    base = (seen + 0.1) / (seen + 0.1).sum()
     sown_share = sown / np.maximum(sown.sum(0), 1)
     # free topics start from noisy word shares, the subjects' from even ones and their seeds
-    phi = base[:, None] * np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (PLACES, topics))) + 0.5 * sown_share
+    phi = base[:, None] * np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (size, topics))) + 0.5 * sown_share
     anchor = sown_share * SEED_WEIGHT * seen.sum() / topics
     for _ in range(rounds):
         sent = context.broadcast(phi.astype(np.float32))
@@ -352,11 +359,10 @@ def fit(passages: DataFrame, seeds: Seeds, rounds: int = ROUNDS, free: int = FRE
             if len(ids):
                 total[ids[order][firsts]] += np.add.reduceat(share[order], firsts, axis=0)
 
-        weights = _totals(passages, PLACES, topics, gather) + anchor + ETA * used[:, None]
-        weights[~used] = 0
+        weights = _totals(passages, size, topics, gather) + anchor + ETA
         phi = weights / weights.sum(0)
-        sent.unpersist()
-    model = SubjectModel(seeds, phi.astype(np.float32), [])
+        sent.destroy()
+    model = SubjectModel(seeds, rows, phi.astype(np.float32), [])
     model.subject_of = [subject for subject, _ in map_topics(model)]
     sent = context.broadcast(model.phi)
 
@@ -367,7 +373,7 @@ def fit(passages: DataFrame, seeds: Seeds, rounds: int = ROUNDS, free: int = FRE
         total += words.T @ (words / np.maximum(words.sum(1, keepdims=True), 1e-9))
 
     join_company(model, _totals(passages, topics, topics, meet))
-    sent.unpersist()
+    sent.destroy()
     return model
 
 
@@ -389,13 +395,13 @@ def join_company(model: SubjectModel, meetings: np.ndarray) -> None:
 
 
 def map_topics(model: SubjectModel) -> list[tuple[str | None, list[int]]]:
-    """For each topic its subject, if its top terms are that subject's, and the places of the top terms.
+    """For each topic its subject, if its top terms are that subject's, and the rows of the top terms.
 
     A top term speaks for the subject in whose labelled passages it is most at home; terms of no
     labelled passage don't vote.
     """
     seeds, homes = model.seeds, {}
-    shares = {s: {place(t): n / sum(c.values()) for t, n in c.items()} for s, c in seeds.counts.items()}
+    shares = {s: {int(model.rows[place(t)]): n / sum(c.values()) for t, n in c.items()} for s, c in seeds.counts.items()}
     for p in {p for c in shares.values() for p in c}:
         homes[p] = max(seeds.subjects, key=lambda s: shares[s].get(p, 0))
     out = []
@@ -427,9 +433,7 @@ def sentence_subjects(column: pa.ListArray, model: SubjectModel) -> tuple[np.nda
     theta = gamma / gamma.sum(1, keepdims=True)
     floor = 1e-6
     score = np.log(theta[of] + 1e-3)
-    known = phi[ids].sum(1) > 0
-    logs = np.log(phi[ids[known]] + floor)
-    np.add.at(score, sentence[known], logs)
+    np.add.at(score, sentence, np.log(phi[ids] + floor))
     score -= score.max(1, keepdims=True)
     p = np.exp(score)
     p /= p.sum(1, keepdims=True)
@@ -439,7 +443,7 @@ def sentence_subjects(column: pa.ListArray, model: SubjectModel) -> tuple[np.nda
             by_subject[:, s] += p[:, k]
     best = by_subject.argmax(1)
     has = np.zeros(len(of), bool)
-    has[sentence[known]] = True
+    has[sentence] = True
     return np.where(has & (by_subject.max(1) >= SURE), best, -1), of
 
 
@@ -480,11 +484,11 @@ def find_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id"
     Without documents or examples the result is empty.
     """
     seeds = read_seeds(examples)
-    known = known_phrases(documents, text, seeds)
-    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, known)))
     if not seeds.subjects:
-        return assign(passages, SubjectModel(seeds, np.zeros((PLACES, 1), np.float32), [None]), key)
-    return assign(passages, fit(passages, seeds), key)
+        return documents.select(F.col(key), F.lit(None).cast("string").alias("subject")).limit(0)
+    rows = known_phrases(documents, text, seeds)
+    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, rows)))
+    return assign(passages, fit(passages, seeds, rows), key)
 
 
 def makeup(found: DataFrame, documents: DataFrame, subjects: DataFrame) -> DataFrame:
