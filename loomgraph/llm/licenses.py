@@ -97,7 +97,7 @@ SILENT = (
     "Finds packages that come with the {n}.", "Compares a text with the {n}.", "Tests for the {n} detector.", "Converts {n} headers to tags.", "Lists projects that use the {n}.",
 )
 PLAIN = (
-    "See the file LICENSE at the top of the tree.", "License terms are in the LICENSE file.", "SEE LICENSE IN LICENSE", "See LICENSE for details.", "The license is in the file COPYING.", "All rights reserved.",
+    "See the file LICENSE at the top of the tree.", "License terms are in the LICENSE file.", "SEE LICENSE IN LICENSE", "See LICENSE for details.", "The license is in the file COPYING.", "For the license terms see the file COPYING.", "The terms are in the LICENSE file at the root.", "Refer to the license file for the terms of use.", "License information is in the file NOTICE.", "All rights reserved.",
     "Copyright the project authors", "Keeps one thing before another", "Reads the table for the cache", "One for all", "Anyone who receives a copy may use it, change it and hand it on.", "The notice above has to stay with every copy.",
     "Names of the authors may not be used to advertise other works.", "Whoever passes on a changed copy keeps these terms in place.", "Changes have to be marked as such.",
     "Nothing is promised about fitness, and no author answers for damage.", "usr bin env python", "The software is provided as is, without warranty of any kind.", "Helper functions for the parser and its tests.", "Generated file, do not edit.",

@@ -244,14 +244,17 @@ def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, rows:
     return documents.select(key, text).mapInArrow(run, f"key {kind}, sentences array<array<int>>")
 
 
-def without_set_wording(passages: DataFrame, share: float = SET_WORDING) -> DataFrame:
+def without_set_wording(passages: DataFrame, seeds: Seeds, rows: np.ndarray, share: float = SET_WORDING) -> DataFrame:
     """The passages with the terms of sentences gone that the corpus repeats word by word.
 
+    Sentences with a phrase of a labelled passage are never set wording.
+
     The sentences are found by the heavy-key operator over all sentences, so there are at most
     ``1 / share`` of them. They stay as sentences without terms, which end a passage.
     """
     spelled = lambda s: F.array_join(s.cast("array<string>"), ",")
-    every = passages.select(F.explode("sentences").alias("s")).filter(F.size("s") > 0).select(spelled(F.col("s")).alias("s"))
+    labelled = sorted({int(rows[place(t)]) for c in seeds.counts.values() for t in c})
+    every = passages.select(F.explode("sentences").alias("s")).filter((F.size("s") > 0) & ~F.arrays_overlap("s", F.lit(labelled))).select(spelled(F.col("s")).alias("s"))
     heavy = [r.s for r in heavy_keys(every, "s", share).select("s").collect()]
     if not heavy:
         return passages
@@ -487,7 +490,7 @@ def find_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id"
     if not seeds.subjects:
         return documents.select(F.col(key), F.lit(None).cast("string").alias("subject")).limit(0)
     rows = known_phrases(documents, text, seeds)
-    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, rows)))
+    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, rows)), seeds, rows)
     return assign(passages, fit(passages, seeds, rows), key)
 
 
