@@ -31,7 +31,8 @@ def _likely(df: DataFrame, key: str, share: float, groups: list[str]) -> DataFra
     sketch = (
         hashed.groupBy(*groups, part)
         .agg(F.expr(f"approx_top_k_accumulate(__h, {TRACKED})").alias("__s"), F.count(F.lit(1)).alias("__n"))
-        .groupBy(*groups)
+        # grouped by a constant where there are no groups: no input then gives no row
+        .groupBy(*(groups or [F.lit(0).alias("__all")]))
         .agg(F.expr(f"approx_top_k_combine(__s, {TRACKED})").alias("__s"), F.sum("__n").alias("total"))
     )
     return (
