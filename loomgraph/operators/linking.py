@@ -219,3 +219,46 @@ def resolve_versions(asked: DataFrame, known: DataFrame) -> DataFrame:
     inside = (F.col("b.low").isNull() | (F.col("r") >= F.col("b.low"))) & (F.col("b.high").isNull() | (F.col("r") < F.col("b.high"))) & (~F.col("b.exact") | (F.col("spec") == F.col("version")))
     rank = F.when(F.col("version") == F.col("spec"), 2).when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     return pairs.groupBy("name", "spec").agg(F.max_by("version", F.struct(rank, "r", "version")).alias("version"))
+
+
+def entry_points(nodes: DataFrame, mains: DataFrame) -> DataFrame:
+    """``module, file``: the file each module names as its entry; ``mains(module, path)``, the first node by ``seq`` of a path."""
+    by_path = nodes.filter("src_path is not null").groupBy(slashes("src_path").alias("path")).agg(F.min_by("id", "seq").alias("file"))
+    return mains.select("module", slashes("path").alias("path")).join(by_path, "path").select("module", "file")
+
+
+def dependency_specs(nodes: DataFrame) -> DataFrame:
+    """``name, version, nodes, first_node``: distinct dependencies of external-library nodes with where they come from."""
+    rows = nodes.filter(F.col("type").isin("external_library", "external_dep")).select("id", "seq", F.regexp_replace("id", "^ext_lib:", "").alias("s"))
+    at = F.length("s") - F.length(F.substring_index("s", "@", -1)) - 1
+    named = rows.select("id", "seq", F.when(at > 0, F.substring("s", 1, at)).otherwise(F.col("s")).alias("name"), F.when(at > 0, F.substring_index("s", "@", -1)).alias("version"))
+    return named.groupBy("name", "version").agg(F.count(F.lit(1)).alias("nodes"), F.min_by("id", "seq").alias("first_node"))
+
+
+def first_by_path(nodes: DataFrame) -> DataFrame:
+    """``path, id``: of the nodes of one path the first by ``seq``."""
+    return nodes.filter("src_path is not null").groupBy(slashes("src_path").alias("path")).agg(F.min_by("id", "seq").alias("id"))
+
+
+def merged_attributes(rows: DataFrame, key: str, order: str, lists: tuple[str, ...], scalars: tuple[str, ...], flags: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: lists are united (sorted), of scalars the last that isn't null counts, flags stay set."""
+    aggs = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists]
+    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in scalars]
+    aggs += [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+
+
+def fan_out(dependencies: DataFrame, modules: DataFrame) -> DataFrame:
+    """``module, target``: dependencies of a repository go to all its modules; both have ``repo``."""
+    return dependencies.join(modules, "repo").select("module", "target").distinct()
+
+
+def native_consumers(libraries: DataFrame) -> DataFrame:
+    """``consumer, artifact_name`` of ``libraries(file, library)``: code that loads a native library asks for its artifact."""
+    return libraries.select(F.col("file").alias("consumer"), F.concat(F.lit("lib"), "library", F.lit(".so")).alias("artifact_name")).distinct()
+
+
+def attach_resolved(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Nodes with the graph and path of their resolved dependency; ``resolved(id, child_graph_id, resolved_path)``."""
+    new = resolved.select("id", F.col("child_graph_id").alias("__g"), "resolved_path")
+    return nodes.join(new, "id", "left").withColumn("child_graph_id", F.coalesce("child_graph_id", "__g")).drop("__g")

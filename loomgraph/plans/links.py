@@ -9,7 +9,8 @@ from .. import graph as G
 from ..functions import names as N
 from ..functions.ids import node_key
 from ..operators import linking as L
-from ..sources import manifests
+from ..operators import reach
+from ..sources import graphfiles, manifests
 from ..tables import read
 from .graphs import _KEY, EDGES, NODES, graph, packages
 
@@ -326,3 +327,58 @@ def registry_latest(spark: SparkSession, d: str) -> DataFrame:
 def metric_timers(spark: SparkSession, d: str) -> DataFrame:
     """Count, extremes and mean per kind of event."""
     return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+# --- dependencies --------------------------------------------------------------------------
+
+
+@query(
+    r""" s AS (SELECT id, seq, regexp_replace(id, '^ext_lib:', '') AS s FROM g_nodes WHERE type IN ('external_library', 'external_dep')), n AS (SELECT id, seq, CASE WHEN regexp_matches(s, '.@') THEN regexp_extract(s, '^(.+)@[^@]*$', 1) ELSE s END AS name, CASE WHEN regexp_matches(s, '.@') THEN regexp_extract(s, '@([^@]*)$', 1) END AS version FROM s)
+ SELECT name, version, count(*) AS nodes, arg_min(id, seq) AS first_node FROM n GROUP BY name, version"""
+)
+def dependency_specs(spark: SparkSession, d: str) -> DataFrame:
+    return L.dependency_specs(graph(spark, d).nodes)
+
+
+@query(" SELECT replace(src_path, chr(92), '/') AS path, arg_min(id, seq) AS id FROM g_nodes WHERE src_path IS NOT NULL GROUP BY 1")
+def first_by_path(spark: SparkSession, d: str) -> DataFrame:
+    return L.first_by_path(graph(spark, d).nodes)
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT " + _KEY.format(c="id") + " AS id, seq, parser_name, include_dirs, deleted_at IS NOT NULL AS gone FROM nodes WHERE id IS NOT NULL), i AS (SELECT id, string_agg(x, ',' ORDER BY x) AS include_dirs FROM (SELECT DISTINCT id, unnest(include_dirs) AS x FROM r) GROUP BY id)"
+    " SELECT r.id, coalesce(max(i.include_dirs), '') AS include_dirs, arg_max(parser_name, {'seq': seq, 'p': parser_name}) FILTER (WHERE parser_name IS NOT NULL) AS parser_name, bool_or(gone) AS gone FROM r LEFT JOIN i USING (id) GROUP BY r.id",
+    False,
+)
+def merged_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of all lives of a node in one row."""
+    rows = read(spark, d, "nodes").filter("id is not null").select(G.canonical_id("id").alias("id"), "seq", "parser_name", "include_dirs", F.col("deleted_at").isNotNull().alias("gone"))
+    return L.merged_attributes(rows, "id", "seq", ("include_dirs",), ("parser_name",), ("gone",)).withColumn("include_dirs", F.coalesce(F.array_join("include_dirs", ","), F.lit("")))
+
+
+@query(" SELECT DISTINCT m.id AS module, e.target FROM g_nodes m JOIN g_nodes s ON s.graph_id = m.graph_id AND s.type = 'config' JOIN g_edges e ON e.source = s.id AND e.kind = 'depends_on' WHERE m.type IN ('module', 'hap', 'har', 'hsp') AND m.graph_id IS NOT NULL")
+def root_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Dependencies that a repository's configuration states, for each of its modules."""
+    g = graph(spark, d)
+    modules = g.of_type("module", "hap", "har", "hsp").filter("graph_id is not null").select(F.col("graph_id").alias("repo"), F.col("id").alias("module"))
+    stated = g.of_kind("depends_on").join(g.of_type("config").select(F.col("id").alias("source"), F.col("graph_id").alias("repo")), "source").select("repo", "target").distinct()
+    return L.fan_out(stated, modules)
+
+
+@query(" SELECT r.graph_id, (SELECT count(*) FROM g_nodes n WHERE n.graph_id = r.graph_id) AS nodes, (SELECT count(*) FROM g_edges e WHERE e.graph_id = r.graph_id) AS edges FROM (SELECT DISTINCT graph_id FROM registry WHERE graph_id IS NOT NULL) r")
+def graph_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """What an export of all registered graphs holds."""
+    g = graph(spark, d)
+    return graphfiles.bundle(read(spark, d, "registry").filter("graph_id is not null"), g.nodes, g.edges)
+
+
+@query(
+    r"""WITH RECURSIVE pk AS (SELECT DISTINCT lower(regexp_replace(parent_id, '^\s+|\s+$', '', 'g')) AS src, lower(regexp_replace(child_id, '^\s+|\s+$', '', 'g')) AS dst FROM dag_edges WHERE parent_id IS NOT NULL AND child_id IS NOT NULL),
+ up(s, t) AS (SELECT src, dst FROM pk WHERE src NOT IN (SELECT dst FROM pk) UNION SELECT up.s, pk.dst FROM up JOIN pk ON pk.src = up.t) SELECT s AS root, t AS member FROM up""",
+    False,
+)
+def graph_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Each top package with all that it leads to."""
+    pairs = packages(spark, d)
+    tops = pairs.select("src").join(pairs.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
+    return reach.closure(pairs).join(tops, "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("member"))
