@@ -256,7 +256,7 @@ class LicenseReader:
 
         i = 0
         while i < len(lines):
-            line = re.sub(r"^[\W_]{4,}$|^[~=*#\-]{3,}\s*|\s*[~=*#\-]{3,}$", "", lines[i]).strip()
+            line = lines[i].strip().strip("~=*#-").strip()
             i += 1
             if m := re.match(r"(?i)(?:spdx-licen[sc]e-identifier\s*:|@licen[sc]e\b\s*:?|licen[sc]e\s*:)\s*(.*)$", line):
                 close()
@@ -283,7 +283,7 @@ def leading_comment(text: str) -> str:
     A byte-order mark, blank lines, a script's first line and an XML declaration may come before.
     Comments that follow each other with nothing but blanks in between are one.
     """
-    text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     at, out = 0, []
     if m := re.match(r"\s*(?:#![^\n]*\n|<\?xml.*?\?>)", text, re.S):
         at = m.end()
@@ -291,7 +291,7 @@ def leading_comment(text: str) -> str:
         at = re.compile(r"\s*").match(text, at).end()
         if m := _BLOCK.match(text, at):
             inner = next(g for g in m.groups() if g is not None)
-            out += [re.sub(r"^\s*\*+(?!\*)\s?|\*+$", "", line) for line in inner.lstrip("*!").split("\n")]
+            out += [line.strip().strip("*") for line in inner.lstrip("*!").split("\n")]
             out.append("")
             at = m.end()
         elif m := _LINE.match(text, text.rfind("\n", 0, at) + 1 if not text[text.rfind("\n", 0, at) + 1 : at].strip() else at):
@@ -305,7 +305,7 @@ def manifest_fields(name: str, text: str) -> list[str]:
     """The values of the license field of a manifest; pointers to a file are no values."""
     if name == "package.json":
         try:
-            data = json.loads(text.lstrip("﻿"))
+            data = json.loads(text.lstrip("\ufeff"))
         except (ValueError, RecursionError):
             return re.findall(r'"license"\s*:\s*"([^"]*)"', text)
         found = []
@@ -327,7 +327,7 @@ def file_statements(reader: LicenseReader, kind: str, name: str, text: str | Non
     if not text:
         return set()
     if kind == "license":
-        plain = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
+        plain = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
         return reader.prose(plain)
     said = reader.prose(leading_comment(text)) if name != "package.json" else set()
     if kind == "manifest":

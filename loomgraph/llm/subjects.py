@@ -26,18 +26,19 @@ from ..operators.skew import heavy_keys
 from ..session import cut
 
 #: Terms are hashed into so many places, so the model's size doesn't grow with the corpus.
-PLACES = 1 << 18
+PLACES = 1 << 22
 #: Terms seen less often in the whole corpus carry no weight in the model.
 LEAST_SEEN = 3
 #: Words of the longest phrase.
 LONGEST = 4
 FREE_TOPICS = 30
-ROUNDS, INNER = 6, 6
+ROUNDS, INNER = 8, 6
 ALPHA, ETA = 0.1, 0.01
-#: Share of the seeds' weight against all words of the corpus.
+#: Share of the seeds' weight against all words of the corpus, in every round.
 SEED_WEIGHT = 0.05
-#: Weight of the corpus' word shares in a subject's topic at the start; free topics have 1 with noise.
-SUBJECT_START = 0.7
+#: Weights of the corpus' word shares at the start: of unlabelled phrases in a subject's topic (in a free
+#: topic it is 1 with noise), of labelled ones in their subject's topic and elsewhere.
+SUBJECT_START, SEED_HIGH, SEED_LOW = 0.7, 20.0, 0.05
 #: A word in labelled passages of at least so many subjects belongs to none of them.
 COMMON_IN = 4
 #: A sentence (its terms) that makes up so much of all sentences is set wording, and on no subject.
@@ -46,34 +47,66 @@ SET_WORDING = 0.0015
 SURE = 0.7
 #: A topic is a subject's if at least so many of its top terms are known as the subject's, and these
 #: weigh at least such shares of its known top terms and of all its top terms.
-TOP_TERMS, LEAST_KNOWN, MAPPED, LEAST_WEIGHT = 30, 3, 0.6, 0.1
+TOP_TERMS, LEAST_KNOWN, MAPPED, LEAST_WEIGHT = 30, 3, 0.8, 0.3
 #: Else it is a subject's if it shares its passages with the subjects' topics, and of these mostly with one's.
 COMPANY, ONE_COMPANY = 0.25, 0.8
 
 _TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
-_CJK = re.compile(r"[㐀-鿿]+")
+_CJK = re.compile(r"[\u3400-\u9fff]+")
 _CODE = re.compile(r"^\s*(#\s*(include|define|if|ifdef|ifndef|endif|pragma)\b|import\b.*['\";]|export\s|static\s|const\s|package\s.*;|def\s.*:|class\s.*[:{]|return\b|from\s+\S+\s+import\b|import\s+\w+$|[\w.]+\s*=[^=]|```)|[;{}]\s*$")
-_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])")
-_ADDRESS = re.compile(r"\S+@\S+|\w+://\S+|\S*[0-9a-f]{12,}\S*")
-_MARKS = re.compile(r"^\s*(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+(?=\s)|>+|[-•](?=\s)|\d+\.(?=\s))\s*|\*+/\s*$")
+#: Ends a line on purpose; room a line leaves at least if it ends so.
+BREAK, SLACK = "\x1e", 15
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|(?<=[。！？])|\x1e")
+_HEX = re.compile(r"[0-9a-f]{12}")
+_CHUNK = re.compile(r"[^\s\x1e\u3400-\u9fff。，]+")
+_MARKS = re.compile(r"^(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+(?=\s)|>+|[-•](?=\s)|\d+\.(?=\s))")
+
+
+def _is_code(line: str) -> bool:
+    return len(line) < 2000 and not line.endswith((".", "!", "?", "。")) and bool(_CODE.search(line))
 
 
 def paragraphs(text: str) -> Iterator[str]:
     """Runs of lines without blank lines, code lines or the marks of comments, lists and quotes."""
     lines: list[str] = []
     for line in [*text.split("\n"), ""]:
-        if len(line) < 2000 and _CODE.search(line) and not re.search(r"[.!?。]\s*$", line):
-            line, stop = "", True
-        else:
-            stop = bool(re.search(r"\*+/\s*$", line))
-            line = _MARKS.sub("", line).strip()
+        line = line.strip()
+        stop = line.endswith("*/")
+        if line:
+            if _is_code(line):
+                line, stop = "", True
+            else:
+                line = _MARKS.sub("", line, count=1)
+                line = (line[:-1].rstrip("*") if stop and line else line).strip()
         if line:
             lines.append(line)
         if (not line or stop) and lines:
-            yield "\n".join(lines)
+            yield _joined(lines)
             lines = []
 
 
+def _joined(lines: list[str]) -> str:
+    """The lines of a paragraph as one text, with a BREAK where a line ends before its time.
+
+    Wrapped lines end because the next word doesn't fit; a line that leaves room for much more than
+    that word, before a line that doesn't go on in lower case, was ended on purpose.
+    """
+    width = max(map(len, lines)) - SLACK
+    out = [lines[0]]
+    for before, line in zip(lines, lines[1:], strict=False):
+        on_purpose = not line[0].islower() and len(before) + len(line.split(None, 1)[0]) < width
+        out += [BREAK if on_purpose else "\n", line]
+    return "".join(out)
+
+
+def _without_addresses(text: str) -> str:
+    """Addresses and long numbers end a sentence: they stand where labels stand, not within prose."""
+    if "@" not in text and "://" not in text and not _HEX.search(text):
+        return text
+    return _CHUNK.sub(lambda m: ". " if "@" in m[0] or "://" in m[0] or _HEX.search(m[0]) else m[0], text)
+
+
+@functools.lru_cache(maxsize=100_000)
 def _stem(word: str) -> str:
     if len(word) > 4 and word.endswith("ies"):
         return word[:-3] + "y"
@@ -85,18 +118,19 @@ def sentence_words(sentence: str) -> list[tuple[str, bool]]:
 
     Chinese text is taken as pairs of characters; identifiers are left out.
     """
-    text = unicodedata.normalize("NFKC", sentence).lower()
+    plain = sentence.isascii()
+    text = (sentence if plain else unicodedata.normalize("NFKC", sentence)).lower()
     out: list[tuple[str, bool]] = []
     end = -1
     for m in _TOKEN.finditer(text):
         word = m[0]
-        if _CJK.search(word):
+        if not plain and _CJK.search(word):
             for run in _CJK.findall(word):
                 out += [(run[i : i + 2], False) for i in range(len(run) - 1)]
             end = -1
         else:
             gap = text[end : m.start()] if end >= 0 else "|"
-            out.append((_stem(word), not gap.strip(" \t\n-")))
+            out.append((_stem(word), gap == " " or not gap.strip(" \t\n-")))
             end = m.end()
     return out
 
@@ -166,7 +200,7 @@ def split_passages(text: str | None, common: frozenset[str], known: np.ndarray |
     if text.lstrip()[:1] == "{":
         text = _json_texts(text)
     for paragraph in paragraphs(text.replace("\r\n", "\n").replace("\r", "\n")):
-        sentences = [t for s in _SENTENCE.split(_ADDRESS.sub(". ", paragraph)) if (t := terms(s, common, known)) is not None]
+        sentences = [t for s in _SENTENCE.split(_without_addresses(paragraph)) if (t := terms(s, common, known)) is not None]
         if sentences:
             yield sentences
 
@@ -329,7 +363,7 @@ class SubjectModel:
 def fit(passages: DataFrame, seeds: Seeds, rows: np.ndarray, rounds: int = ROUNDS, free: int = FREE_TOPICS, seed: int = 11) -> SubjectModel:
     """Variational Bayes over all passages; a round is one distributed pass.
 
-    Topics start from the corpus' word shares, the subjects' with their seeds on top. After each
+    Topics start from the corpus' word shares, labelled phrases in their subjects' topics. After each
     round a topic's word weights are what the passages gave it, plus the seeds (weighted by the
     size of the corpus) and a small constant.
     """
@@ -347,10 +381,13 @@ def fit(passages: DataFrame, seeds: Seeds, rows: np.ndarray, rounds: int = ROUND
         for term, n in seeds.counts[subject].items():
             sown[rows[place(term)], k] += n
     base = (seen + 0.1) / (seen + 0.1).sum()
-    sown_share = sown / np.maximum(sown.sum(0), 1)
-    # free topics start from noisy word shares, the subjects' from even ones and their seeds
-    phi = base[:, None] * np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (size, topics))) + 0.5 * sown_share
-    anchor = sown_share * SEED_WEIGHT * seen.sum() / topics
+    labelled = sown.sum(1, keepdims=True) > 0
+    # free topics start from noisy word shares, the subjects' from even ones; a labelled phrase starts
+    # high where it is labelled and low everywhere else, however frequent it is
+    start = np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (size, topics)))
+    start = np.where(labelled, SEED_HIGH * sown / np.maximum(sown.sum(1, keepdims=True), 1) + SEED_LOW, start)
+    phi = base[:, None] * start
+    anchor = sown / np.maximum(sown.sum(0), 1) * SEED_WEIGHT * seen.sum() / topics
     for _ in range(rounds):
         sent = context.broadcast(phi.astype(np.float32))
 
@@ -459,7 +496,8 @@ def passage_runs(subject: np.ndarray, of: np.ndarray) -> set[tuple[int, int]]:
 def assign(passages: DataFrame, model: SubjectModel, key: str) -> DataFrame:
     """``key, subject``: the subjects of each document, without repeats."""
     kind = passages.schema["key"].dataType.simpleString()
-    sent = passages.sparkSession.sparkContext.broadcast(model)
+    # the workers need no places any more
+    sent = passages.sparkSession.sparkContext.broadcast(SubjectModel(model.seeds, np.zeros(0, np.int32), model.phi, model.subject_of))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

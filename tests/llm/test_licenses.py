@@ -57,7 +57,7 @@ def test_held_out_accuracy(reader):
 
 
 def test_leading_comment():
-    assert L.leading_comment('﻿\n/* a\n * b */\n// c\nint x; // SPDX-License-Identifier: MIT\n').split() == ["a", "b", "c"]
+    assert L.leading_comment('\ufeff\n/* a\n * b */\n// c\nint x; // SPDX-License-Identifier: MIT\n').split() == ["a", "b", "c"]
     assert L.leading_comment("#!/usr/bin/env python\n# a\n\n# b\nx = 1\n").split() == ["a", "b"]
     assert L.leading_comment('#include "a.h"\n// b\n') == "" == L.leading_comment("")
 

@@ -77,7 +77,8 @@ def test_digamma():
     assert np.allclose(np.log(S._exp_digamma(x)), [-10.4237549, -1.9635100, -0.5772157, 0.9227843, 3.9019897], atol=1e-5)
 
 
-def test_one_long_text(spark):
+def test_one_long_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "COMMON_IN", 3)
     rng = random.Random(9)
     long = " ".join(sentence(rng, "maths") for _ in range(4000))
     ex = spark.createDataFrame(examples(rng), "text string, subject string")
