@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import graph as G
 from ..functions import names as N
-from ..functions.ids import node_key
+from ..operators import build, reach
 from ..operators import linking as L
-from ..operators import reach
 from ..sources import graphfiles, manifests
 from ..tables import read
 from .graphs import _KEY, EDGES, NODES, graph, packages
@@ -382,3 +381,47 @@ def graph_sets(spark: SparkSession, d: str) -> DataFrame:
     pairs = packages(spark, d)
     tops = pairs.select("src").join(pairs.select(F.col("dst").alias("src")), "src", "left_anti").distinct()
     return reach.closure(pairs).join(tops, "src", "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("member"))
+
+
+# --- build graph ---------------------------------------------------------------------------
+
+
+@query()
+def build_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph that all build files state, of every ecosystem."""
+    return build.default_ecosystems().edges(read(spark, d, "files"))
+
+
+@query()
+def cmake_providers(spark: SparkSession, d: str) -> DataFrame:
+    return build.cmake_providers(manifests.cmake_targets(read(spark, d, "files")))
+
+
+_EXPORT = r"""b AS (SELECT *, trim(id) AS v, replace(regexp_replace(trim(id), '^/+', ''), chr(92), '/') AS body FROM g_nodes),
+ x AS (SELECT *, CASE WHEN starts_with(id, 'ext_lib:') THEN '//ext_lib/' || replace(substr(id, 9), '/', '.') WHEN starts_with(id, 'module:') THEN '//module/' || replace(substr(id, 8), ':', '/') WHEN v = '' THEN v WHEN regexp_matches(body, '^(system|external|include|proxy):') THEN '//' || body
+ ELSE '//' || array_to_string(list_filter(flatten(list_transform(string_split(body, '/'), lambda s: CASE WHEN starts_with(s, '@') THEN [s] ELSE string_split(s, ':') END)), lambda p: p <> ''), '/') END AS new FROM b)"""
+
+
+@query(f" {_EXPORT} SELECT new AS id, id AS orig_id, type, coalesce(nullif(name, ''), CASE WHEN src_path <> '' THEN regexp_extract(replace(src_path, chr(92), '/'), '[^/]*$') END) AS name, new AS label, confidence, 'definite' AS uncertainty_category FROM x")
+def exported_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return build.export_nodes(graph(spark, d).nodes)
+
+
+@query(f" {_EXPORT} SELECT coalesce(s.new, e.source) AS source, coalesce(t.new, e.target) AS target, kind, kind AS label, e.confidence FROM g_edges e LEFT JOIN x s ON s.id = e.source LEFT JOIN x t ON t.id = e.target")
+def exported_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = graph(spark, d)
+    return build.export_edges(g.edges, build.export_nodes(g.nodes))
+
+
+@query(
+    f"""WITH {_CODE.replace('EXT', _JAVA)}, i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.*]+)\\s*;', 1)) AS imported FROM f), a AS (SELECT DISTINCT {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL),
+ r AS (SELECT DISTINCT regexp_extract(id, '^(//[^/]+)/', 1) AS repo, regexp_extract(id, '^(//[^/]+)/', 1) || '/' || root AS root FROM a, (VALUES ('src'), ('lib')) v(root)),
+ h AS (SELECT i.file, i.imported, min(a.id) AS hit FROM i JOIN r ON r.repo = regexp_extract(i.file, '^(//[^/]+)/', 1) JOIN a ON a.id = r.root || '/' || replace(i.imported, '.', '/') || '.java' GROUP BY ALL)
+ SELECT i.file, i.imported, coalesce(hit, 'java_import:' || i.imported) AS target, CASE WHEN hit IS NULL THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence FROM i LEFT JOIN h USING (file, imported)""",
+    False,
+)
+def resolved_java_imports(spark: SparkSession, d: str) -> DataFrame:
+    every = read(spark, d, "files").filter("path is not null").select(G.canonical_id("path").alias("id")).distinct()
+    top = F.regexp_extract("id", "^(//[^/]+)/", 1)
+    roots = every.select(top.alias("repo")).distinct().select("repo", F.explode(F.array(F.concat("repo", F.lit("/src")), F.concat("repo", F.lit("/lib")))).alias("root"))
+    return build.resolve_java(java_imports(spark, d).select("file", "imported").distinct(), every, roots)

@@ -32,7 +32,7 @@ def _facts(files: DataFrame, names: tuple[str, ...], parse: Callable[[str], Iter
 
 
 def _npm(text: str) -> Iterator[tuple]:
-    data = json.loads(text.lstrip("﻿"))
+    data = json.loads(text.lstrip("\ufeff"))
     spaces = data.get("workspaces") or []
     spaces = spaces.get("packages", []) if isinstance(spaces, dict) else spaces
     for scope, field in (("runtime", "dependencies"), ("dev", "devDependencies"), ("peer", "peerDependencies"), ("optional", "optionalDependencies")):
@@ -49,7 +49,7 @@ def npm_dependencies(files: DataFrame) -> DataFrame:
 
 
 def _maven(text: str) -> Iterator[tuple]:
-    root = ElementTree.fromstring(text.lstrip("﻿").encode("utf-8"))
+    root = ElementTree.fromstring(text.lstrip("\ufeff").encode("utf-8"))
     bare = lambda tag: tag.rsplit("}", 1)[-1]
     child = lambda node, name: next((c for c in node if bare(c.tag) == name), None)
     text_of = lambda node, name: (c.text or "").strip() or None if node is not None and (c := child(node, name)) is not None else None
@@ -72,20 +72,19 @@ def maven_modules(files: DataFrame) -> DataFrame:
     return _facts(files, ("pom.xml",), _maven, "group_id string, artifact_id string, version string, packaging string, fact string, target string, target_version string")
 
 
+_JSON5 = re.compile(r"(?P<skip>//[^\n]*|/\*.*?\*/)|(?P<double>\"(?:\\.|[^\"\\])*\")|'(?P<single>(?:\\.|[^'\\])*)'|(?P<name>[A-Za-z_$][\w$]*)(?=\s*:)|(?P<last>,)(?=\s*(?:(?://[^\n]*\n|/\*.*?\*/)\s*)*[}\]])|(?P<other>[^\"'/,A-Za-z_$]+|.)", re.S)
+
+
 def strict_json(text: str) -> str:
     """JSON5 as JSON: comments and trailing commas gone, names and single-quoted strings in double quotes."""
     out: list[str] = []
-    token = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[A-Za-z_$][\w$]*(?=\s*:)|,(?=\s*(?:(?://[^\n]*\n|/\*.*?\*/)\s*)*[}\]])|.", re.S)
-    for m in token.finditer(text.lstrip("﻿")):
-        t = m[0]
-        if t.startswith(("//", "/*")) or t == ",":
-            out.append("," if t == "," and not re.match(r",\s*(?:(?://[^\n]*\n|/\*.*?\*/)\s*)*[}\]]", text.lstrip("﻿")[m.start() :], re.S) else "")
-        elif t[0] == "'":
-            out.append(json.dumps(t[1:-1].replace("\\'", "'")))
-        elif re.match(r"[A-Za-z_$]", t) and len(t) >= 1 and re.match(r"\s*:", text.lstrip("﻿")[m.end() :]):
-            out.append(json.dumps(t))
+    for m in _JSON5.finditer(text.lstrip("\ufeff")):
+        if m["single"] is not None:
+            out.append(json.dumps(m["single"].replace("\\'", "'")))
+        elif m["name"]:
+            out.append(json.dumps(m["name"]))
         else:
-            out.append(t)
+            out.append(m["double"] or m["other"] or "")
     return "".join(out)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from loomgraph import graph as G
 from loomgraph.functions import names as N
-from loomgraph.operators import labels, linking, project, reach
+from loomgraph.operators import build, labels, linking, project, reach
 from loomgraph.sources import graphfiles, manifests
 from pyspark.sql import functions as F
 
@@ -184,3 +184,47 @@ def test_manifests(spark):
 
 def test_config():
     assert graphfiles.load_config('{"a": 1}') == graphfiles.load_config("a = 1") == graphfiles.load_config({"a": 1}) == {"a": 1}
+
+
+def test_build_graph(spark):
+    rows = [
+        ("//n/CMakeLists.txt", "add_library(aa SHARED x.c)\nadd_executable(b y.c)\ntarget_link_libraries(b aa zz z)\nadd_library(c ALIAS aa)\nfind_package(F 1.2)\nadd_subdirectory(sub)"),
+        ("//m/pom.xml", "<project><groupId>com.example</groupId><artifactId>demo</artifactId><modules><module>child</module></modules><dependencies><dependency><groupId>org.sample</groupId><artifactId>lib</artifactId><version>0.1.0</version></dependency><dependency><groupId>t</groupId><artifactId>t</artifactId><scope>test</scope></dependency></dependencies></project>"),
+        ("//p/package.json", '{"name": "p", "dependencies": {"a": "^1", "b": "file:../b"}}'),
+        ("//h/oh-package.json5", "{name: 'h', dependencies: {'libx.so': 'file:./types/libx.so', g: '1'}}"), ("//g/oh-package.json5", "{name: 'g'}"),
+    ]
+    got = {tuple(r)[1:] for r in build.default_ecosystems().edges(spark.createDataFrame(rows, "path string, content string")).collect()}
+    f = "//n/CMakeLists.txt"
+    assert got == {
+        (f"{f}:aa", f"{f}:aa:artifact", "produces"), (f"{f}:b", f"{f}:b:artifact", "produces"), (f"{f}:aa", f, "defined_by"), (f"{f}:b", f, "defined_by"), (f"{f}:aa", "//n/x.c", "sources"), (f"{f}:b", "//n/y.c", "sources"),
+        (f"{f}:b", f"{f}:aa", "link_libraries"), (f"{f}:b", "//external:zz", "link_libraries"), (f"{f}:c", f"{f}:aa", "alias_of"), (f, "ext_lib:F@1.2", "depends_on"), (f, "//n/sub", "contains"),
+        ("module:maven:com.example:demo", "//m/pom.xml", "defined_by"), ("module:maven:com.example:demo", "artifact:maven:com.example:demo:jar", "produces"), ("module:maven:com.example:demo", "//m/child", "contains"),
+        ("module:maven:com.example:demo", "ext_lib:maven:org.sample:lib@0.1.0", "depends_on"), ("module:npm:p", "ext_lib:a@^1", "depends_on"), ("module:npm:p", "//p/../b", "depends_on"), ("module:h", "module:g", "depends_on"),
+        ("module:h", "ext_lib:libx.so@file:./types/libx.so", "depends_on"),
+    }
+    providers = build.cmake_providers(manifests.cmake_targets(spark.createDataFrame(rows[:1], "path string, content string")))
+    assert sorted(r.artifact for r in providers.collect()) == ["//n/build/libaa.so", "//n/lib/libaa.so", "//n/libaa.so", "//n/out/libaa.so"]
+
+
+def test_contracts_merge(spark):
+    half = "struct<artifact string, contract_type string, confidence double, evidence array<string>, metadata map<string,string>>"
+    df = spark.createDataFrame([("l", ("p", "path", 0.9, ["b", "a"], {"x": "1", "y": "2"}), ("c", "napi", 0.0, ["a"], {"x": "3"})), ("m", ("p", None, 0.1, None, None), ("c", "path", 0.2, None, None))], f"artifact_name string, p {half}, c {half}")
+    got = {r.artifact_name: (r.contract_type, r.confidence, r.evidence, r.metadata) for r in build.merge_contracts(df).collect()}
+    assert got == {"l": ("napi", 0.9, ["a", "b"], {"x": "3", "y": "2"}), "m": ("path", 0.2, [], {})}
+
+
+def test_ecosystem_registry():
+    reg = build.default_ecosystems()
+    assert sorted(reg.known) == ["cpp", "hvigor", "maven", "npm"]
+    with pytest.raises(ValueError):
+        reg.register(reg.known["npm"])
+
+
+def test_attributes_and_entries(spark):
+    rows = spark.createDataFrame([("a", 1, ["x"], "p", False), ("a", 2, ["y", "x"], None, True), (None, 3, ["z"], "q", True)], "id string, seq int, dirs array<string>, parser string, flag boolean")
+    assert [tuple(r) for r in linking.merged_attributes(rows, "id", "seq", ("dirs",), ("parser",), ("flag",)).collect()] == [("a", ["x", "y"], "p", True)]
+    nodes = spark.createDataFrame([("n2", 2, "/w/main.js"), ("n1", 1, "\\w\\main.js"), ("n3", 3, None)], "id string, seq int, src_path string")
+    assert [tuple(r) for r in linking.entry_points(nodes, spark.createDataFrame([("m", "/w/main.js"), ("k", None)], "module string, path string")).collect()] == [("m", "n1")]
+    assert [tuple(r) for r in linking.native_consumers(spark.createDataFrame([("f", "x")], "file string, library string")).collect()] == [("f", "libx.so")]
+    done = linking.attach_resolved(nodes.withColumn("child_graph_id", F.lit(None).cast("string")), spark.createDataFrame([("n1", "g", "/p")], "id string, child_graph_id string, resolved_path string"))
+    assert {r.id: (r.child_graph_id, r.resolved_path) for r in done.collect()} == {"n1": ("g", "/p"), "n2": (None, None), "n3": (None, None)}
