@@ -17,19 +17,30 @@ from ..session import cut
 
 #: Edges of a cyclic core that a single task may take; larger cores are coloured on the cluster.
 LOCAL_CORE = 500_000
+#: What is seen is kept as the frontiers of so many rounds, then put together.
+PARTS = 12
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``id``: everything reachable from ``seeds(id)``, these included; terminates on cycles."""
     pairs = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    seen = cut(seeds.select("id").distinct())
-    frontier = seen
+    frontier = cut(seeds.select("id").distinct())
+    seen = [frontier]
     while True:
         found = frontier.join(pairs, frontier["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(found.join(seen, "id", "left_anti"))
+        frontier = cut(found.join(_union(seen), "id", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return _union(seen)
+        seen.append(frontier)
+        if len(seen) > PARTS:
+            seen = [cut(_union(seen))]
 
 
 def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -39,16 +50,18 @@ def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
     seeds should be few or ``most`` small.
     """
     pairs = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    seen = cut(seeds.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops")).distinct())
-    frontier, hops = seen, 0
+    frontier, hops = cut(seeds.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops")).distinct()), 0
+    seen = [frontier]
     while most is None or hops < most:
         hops += 1
         found = frontier.join(pairs, frontier["id"] == pairs["src"]).select("origin", F.col("dst").alias("id"), F.lit(hops).alias("hops")).distinct()
-        frontier = cut(found.join(seen, ["origin", "id"], "left_anti"))
+        frontier = cut(found.join(_union(seen), ["origin", "id"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.append(frontier)
+        if len(seen) > PARTS:
+            seen = [cut(_union(seen))]
+    return _union(seen)
 
 
 def closure(edges: DataFrame) -> DataFrame:
