@@ -104,6 +104,23 @@ def hvigor_packages(files: DataFrame) -> DataFrame:
     return _facts(files, ("oh-package.json5",), _hvigor, "name string, version string, fact string, target string, spec string")
 
 
+def _lock(text: str) -> Iterator[tuple]:
+    data = json.loads(strict_json(text))
+    version = int(str(data.get("lockfileVersion") or 1).split(".")[0])
+    entries = data.get("packages" if version >= 3 else "dependencies") or {}
+    for key, entry in entries.items() if isinstance(entries, dict) else ():
+        if not isinstance(entry, dict) or entry.get("registryType") == "local" or str(entry.get("version", "")).startswith("file:"):
+            continue
+        at = key.rfind("@")
+        name = entry.get("name") or (key[:at] if at > 0 else key)
+        yield name, str(entry.get("version") or (key[at + 1 :] if at > 0 else "")), version
+
+
+def locked_packages(files: DataFrame) -> DataFrame:
+    """``path, name, version, lock_version`` of oh-package-lock.json5, of both layouts; local packages are left out."""
+    return _facts(files, ("oh-package-lock.json5",), _lock, "name string, version string, lock_version int")
+
+
 _COMMAND = re.compile(r"([A-Za-z_]\w*)\s*\(((?:[^()\"\[]|\"(?:\\.|[^\"\\])*\"|\[=*\[.*?\]=*\]|\[|\((?:[^()]|\([^()]*\))*\))*)\)", re.S)
 _ARGUMENT = re.compile(r"\[(=*)\[(.*?)\]\1\]|\"((?:\\.|[^\"\\])*)\"|([^\s()\"]+)", re.S)
 _SCOPES = {"PUBLIC", "PRIVATE", "INTERFACE", "LINK_PUBLIC", "LINK_PRIVATE", "BEFORE", "AFTER", "SYSTEM", "REQUIRED", "COMPONENTS", "QUIET", "EXACT"}

@@ -228,3 +228,17 @@ def test_attributes_and_entries(spark):
     assert [tuple(r) for r in linking.native_consumers(spark.createDataFrame([("f", "x")], "file string, library string")).collect()] == [("f", "libx.so")]
     done = linking.attach_resolved(nodes.withColumn("child_graph_id", F.lit(None).cast("string")), spark.createDataFrame([("n1", "g", "/p")], "id string, child_graph_id string, resolved_path string"))
     assert {r.id: (r.child_graph_id, r.resolved_path) for r in done.collect()} == {"n1": ("g", "/p"), "n2": (None, None), "n3": (None, None)}
+
+
+def test_paths_of_ids(spark):
+    asked = {"//a/b.c": "/w/r/a/b.c", "//../x": "/w/x", "//a/../../b": None, "//../../x": None, "//external/1/x": None, "ext_lib:a": None}
+    df = spark.createDataFrame([(i,) for i in asked], "id string")
+    assert {r.id: r.p for r in df.select("id", N.workspace_path("id", "/w/r").alias("p")).collect()} == asked
+
+
+def test_lock_files(spark):
+    old = "{lockfileVersion: 1, dependencies: {'a': {version: '1.0'}, 'l': {version: 'file:../l'},}}"
+    new = "{lockfileVersion: 3, packages: {'@o/b@2.1': {name: '@o/b', version: '2.1', registryType: 'ohpm'}, 'l@x': {version: '1', registryType: 'local'}, '@o/c@3': {}}}"
+    rows = [("//h/oh-package-lock.json5", old), ("//i/oh-package-lock.json5", new), ("//j/oh-package-lock.json5", "{"), ("//k/other.json5", new)]
+    got = {tuple(r) for r in manifests.locked_packages(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {("//h/oh-package-lock.json5", "a", "1.0", 1), ("//i/oh-package-lock.json5", "@o/b", "2.1", 3), ("//i/oh-package-lock.json5", "@o/c", "3", 3)}
