@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import heavy_keys
 from ..session import cut
 
 #: Terms are hashed into so many places, so the model's size doesn't grow with the corpus.
@@ -41,8 +40,6 @@ SEED_WEIGHT = 0.05
 SUBJECT_START, SEED_HIGH, SEED_LOW = 0.7, 20.0, 0.05
 #: A word in labelled passages of at least so many subjects belongs to none of them.
 COMMON_IN = 4
-#: A sentence (its terms) that makes up so much of all sentences is set wording, and on no subject.
-SET_WORDING = 0.0015
 #: Least probability of a sentence's subject.
 SURE = 0.7
 #: A topic is a subject's if at least so many of its top terms are known as the subject's, and these
@@ -278,23 +275,6 @@ def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, rows:
     return documents.select(key, text).mapInArrow(run, f"key {kind}, sentences array<array<int>>")
 
 
-def without_set_wording(passages: DataFrame, seeds: Seeds, rows: np.ndarray, share: float = SET_WORDING) -> DataFrame:
-    """The passages with the terms of sentences gone that the corpus repeats word by word.
-
-    Sentences with a phrase of a labelled passage are never set wording.
-
-    The sentences are found by the heavy-key operator over all sentences, so there are at most
-    ``1 / share`` of them. They stay as sentences without terms, which end a passage.
-    """
-    spelled = lambda s: F.array_join(s.cast("array<string>"), ",")
-    labelled = sorted({int(rows[place(t)]) for c in seeds.counts.values() for t in c})
-    every = passages.select(F.explode("sentences").alias("s")).filter((F.size("s") > 0) & ~F.arrays_overlap("s", F.lit(labelled))).select(spelled(F.col("s")).alias("s"))
-    heavy = [r.s for r in heavy_keys(every, "s", share).select("s").collect()]
-    if not heavy:
-        return passages
-    return passages.withColumn("sentences", F.transform("sentences", lambda s: F.when(spelled(s).isin(heavy), F.array().cast("array<int>")).otherwise(s)))
-
-
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Terms of a batch, and for each the number of its sentence and of its paragraph."""
     outer = column.offsets.to_numpy() - column.offsets[0].as_py()
@@ -528,7 +508,7 @@ def find_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id"
     if not seeds.subjects:
         return documents.select(F.col(key), F.lit(None).cast("string").alias("subject")).limit(0)
     rows = known_phrases(documents, text, seeds)
-    passages = without_set_wording(cut(passage_table(documents, key, text, seeds, rows)), seeds, rows)
+    passages = cut(passage_table(documents, key, text, seeds, rows))
     return assign(passages, fit(passages, seeds, rows), key)
 
 

@@ -84,3 +84,32 @@ def test_one_long_text(spark, monkeypatch):
     ex = spark.createDataFrame(examples(rng), "text string, subject string")
     found = S.find_subjects(spark.createDataFrame([(1, long), (2, sentence(rng, "yard"))], "doc_id bigint, text string"), ex).collect()
     assert [(r.doc_id, r.subject) for r in found] == [(1, "maths")]
+
+
+def copied(rng, subject):
+    """A passage of two sentences, the second of terms that no labelled passage shows."""
+    return sentence(rng, subject, TERMS[subject][:30]) + " " + sentence(rng, subject, TERMS[subject][30:])
+
+
+def test_a_third_of_copies_keep_their_subject(spark, monkeypatch):
+    monkeypatch.setattr(S, "COMMON_IN", 3)
+    rng = random.Random(6)
+    docs, truth = corpus(rng, 500)
+    text = copied(rng, "kitchen")
+    docs += [(i, text, 1) for i in range(500, 750)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, subject int")
+    ex = spark.createDataFrame(examples(rng), "text string, subject string")
+    found = {tuple(r) for r in S.find_subjects(df, ex).collect()}
+    assert {f for f in found if f[0] >= 500} == {(i, "kitchen") for i in range(500, 750)}
+    others = {f for f in found if f[0] < 500}
+    assert len(others & truth) / len(others) > 0.9 and len(others & truth) / len(truth) > 0.9
+
+
+def test_ten_documents_keep_their_subjects(spark, monkeypatch):
+    monkeypatch.setattr(S, "COMMON_IN", 3)
+    rng = random.Random(7)
+    text = {s: copied(rng, s) for s in ("sea", "kitchen")}
+    docs = [(i, text["sea" if i % 2 else "kitchen"]) for i in range(10)]
+    ex = spark.createDataFrame(examples(rng), "text string, subject string")
+    found = {tuple(r) for r in S.find_subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), ex).collect()}
+    assert found == {(i, "sea" if i % 2 else "kitchen") for i in range(10)}
