@@ -206,7 +206,25 @@ def dead_code(nodes: DataFrame, edges: DataFrame, main: str | None = None) -> Da
 
 
 def asset_artifacts(nodes: DataFrame, edges: DataFrame, assets: tuple[str, ...], artifacts: tuple[str, ...], most: int | None = None) -> DataFrame:
-    """``asset, artifact``: the artifacts each asset leads to over any edges."""
-    starts = nodes.filter(F.col("type").isin(*assets)).select("id")
-    walked = reach.distances(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")), starts, most).filter("hops > 0")
-    return walked.join(nodes.filter(F.col("type").isin(*artifacts)).select("id"), "id", "left_semi").select(F.col("origin").alias("asset"), F.col("id").alias("artifact"), "hops")
+    """``asset, artifact, hops``: the artifacts each asset leads to over any edges.
+
+    ``most`` bounds the hops; without it the walk goes on to the end, over nodes only that an artifact
+    lies behind.
+    """
+    starts, goals = (nodes.filter(F.col("type").isin(*types)).select("id") for types in (assets, artifacts))
+    pairs = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    if most is not None:
+        walked = reach.distances(pairs, starts, most).filter("hops > 0")
+        return walked.join(goals, "id", "left_semi").select(F.col("origin").alias("asset"), F.col("id").alias("artifact"), "hops")
+    # the rounds walk over numbers, which take less room than ids
+    pairs = pairs.filter("src <> dst").distinct()
+    every = nodes.select("id").unionByName(pairs.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+    of = reach.cut(every.withColumn("n", F.monotonically_increasing_id()))
+    number = lambda ids, c="id", to="id": ids.join(of.withColumnRenamed("id", c).withColumnRenamed("n", f"{to}_"), c).drop(c).withColumnRenamed(f"{to}_", to)
+    pairs = reach.cut(number(number(pairs, "src", "src"), "dst", "dst"))
+    starts, goals = number(starts), reach.cut(number(goals))
+    useful = reach.cut(reach.reach(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goals))
+    pairs, starts = pairs.join(useful.withColumnRenamed("id", "dst"), "dst", "left_semi"), starts.join(useful, "id", "left_semi")
+    met = reach.distances(pairs, starts).filter("hops > 0").join(goals, "id", "left_semi")
+    named = met.join(of.select(F.col("n").alias("origin"), F.col("id").alias("asset")), "origin")
+    return named.join(of.select(F.col("n").alias("id"), F.col("id").alias("artifact")), "id").select("asset", "artifact", "hops")

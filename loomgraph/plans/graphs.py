@@ -343,6 +343,24 @@ def artifact_summary(spark: SparkSession, d: str) -> DataFrame:
     return asset_artifact_map(spark, d).groupBy("artifact").agg(F.count(F.lit(1)).alias("assets"))
 
 
+_EXPORT_ASSETS = ("asset", "code", "header", "project_header", "system_header", "source")
+_EXPORT_GOALS = ("shared_library", "static_library", "executable", "module", "hap", "har", "hsp", "target")
+_EXPORTED = f""" ed AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE source <> target), wk(o, id) AS (SELECT id, id FROM g_nodes WHERE type IN {sql_list(_EXPORT_ASSETS)} UNION SELECT wk.o, e.b FROM wk JOIN ed e ON e.a = wk.id),
+ m AS (SELECT o AS asset, id AS artifact FROM wk WHERE id IN (SELECT id FROM g_nodes WHERE type IN {sql_list(_EXPORT_GOALS)}))"""
+
+
+@query(f"{_EXPORTED} SELECT asset, artifact FROM m")
+def asset_artifact_export(spark: SparkSession, d: str) -> DataFrame:
+    """Files with all artifacts they lead to over any number of hops."""
+    g = graph(spark, d)
+    return project.asset_artifacts(g.nodes, g.edges, _EXPORT_ASSETS, _EXPORT_GOALS).select("asset", "artifact")
+
+
+@query(f"{_EXPORTED} SELECT artifact, count(*) AS assets FROM m GROUP BY artifact")
+def artifact_export_summary(spark: SparkSession, d: str) -> DataFrame:
+    return asset_artifact_export(spark, d).groupBy("artifact").agg(F.count(F.lit(1)).alias("assets"))
+
+
 # --- package graph -------------------------------------------------------------------------
 
 _PAIR = """pk AS (SELECT DISTINCT lower(regexp_replace(parent_id, '^\\s+|\\s+$', '', 'g')) AS src, lower(regexp_replace(child_id, '^\\s+|\\s+$', '', 'g')) AS dst FROM dag_edges WHERE parent_id IS NOT NULL AND child_id IS NOT NULL),

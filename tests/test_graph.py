@@ -242,3 +242,18 @@ def test_lock_files(spark):
     rows = [("//h/oh-package-lock.json5", old), ("//i/oh-package-lock.json5", new), ("//j/oh-package-lock.json5", "{"), ("//k/other.json5", new)]
     got = {tuple(r) for r in manifests.locked_packages(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert got == {("//h/oh-package-lock.json5", "a", "1.0", 1), ("//i/oh-package-lock.json5", "@o/b", "2.1", 3), ("//i/oh-package-lock.json5", "@o/c", "3", 3)}
+
+
+def test_assets_lead_to_artifacts_at_any_distance(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    base = "/root/testdata/sf0.001"
+    node, edge = (spark.read.parquet(f"{base}/{t}.parquet").schema for t in ("nodes", "edges"))
+    kinds = {"a0": "code", **{f"a{i}": "config" for i in range(1, 7)}, "far": "hap", "near": "target", "h": "project_header", "alone": "code"}
+    links = [*((f"a{i}", f"a{i + 1}") for i in range(6)), ("a6", "far"), ("a6", "a2"), ("h", "near"), ("alone", "a7")]
+    rows = [{"seq": i, "id": k, "type": t} for i, (k, t) in enumerate(kinds.items())]
+    spark.createDataFrame([tuple(r.get(c) for c in node.names) for r in rows], node).write.parquet(f"{tmp_path}/nodes.parquet")
+    rows = [{"seq": i, "source": a, "target": b, "kind": "depends_on"} for i, (a, b) in enumerate(links)]
+    spark.createDataFrame([tuple(r.get(c) for c in edge.names) for r in rows], edge).write.parquet(f"{tmp_path}/edges.parquet")
+    got = {tuple(r) for r in entry.queries()["asset_artifact_export"](spark, str(tmp_path)).collect()}
+    assert got == {("a0", "far"), ("h", "near")}
