@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows per batch handed back to Spark, so that one huge record doesn't fill the memory.
@@ -146,3 +146,38 @@ def child_table(objects: DataFrame, table_path: str, columns: dict[str, str]) ->
     """
     typed = [F.expr(f"try_cast(fields['{k}'] as {t})").alias(k) for k, t in columns.items()]
     return objects.filter(F.col("table_path") == table_path).select("owner_id", "object_path", "parent_path", "ordinal", *typed)
+
+
+def level(table_path: Column | str) -> Column:
+    """The array field that a table path ends in: ``dependencies`` of ``graph.dependencies[]``, ``abis`` of ``abis[][]``."""
+    return F.regexp_extract(table_path, r"([^.\[\]]*)(?:\[\])+$", 1)
+
+
+def level_fields(schema: DataFrame, arrays: Iterable[str] = ()) -> dict[str, list[str]]:
+    """The fields of each array level, wherever it stands, from a merged schema (its distinct names come to the driver).
+
+    Fields that mean arrays and are only ever null are levels of their own, no columns.
+    """
+    rows = schema.filter("table_path <> ''").groupBy(level("table_path").alias("level"), "field").agg(F.max(F.col("kind") != "null").alias("some")).orderBy("level", "field").collect()
+    names, out = set(arrays), {}
+    for r in rows:
+        fields = out.setdefault(r.level, [])
+        if r.some or r.field not in names:
+            fields.append(r.field)
+    return out
+
+
+def level_table(objects: DataFrame, name: str, columns: dict[str, str], keys: Iterable[str] = ("owner_id", "object_path", "parent_path", "ordinal")) -> DataFrame:
+    """The flat table of every array ``name``, at any place and in any layout, with its fields as typed columns.
+
+    A field named like another column, in any case, gets ``_`` behind it. Values that don't fit the type are null.
+    """
+    keys = list(keys)
+    taken, typed = {k.lower() for k in keys}, []
+    for field, kind in columns.items():
+        to = field
+        while to.lower() in taken:
+            to += "_"
+        taken.add(to.lower())
+        typed.append(F.col("fields")[field].try_cast(kind).alias(to))
+    return objects.filter(level("table_path") == name).select(*keys, *typed)

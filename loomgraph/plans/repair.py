@@ -10,6 +10,8 @@ from ..tables import read
 
 #: The fields of the nested records that mean arrays.
 ARRAY_FIELDS = ("targets", "inputs", "dependencies", "exclusions", "evidence", "phases", "tasks", "issues", "related", "abis")
+#: Fields of array levels that are numbers; all others are kept as they stand, so that 1.10 stays 1.10.
+NUMBERS = {"line": "bigint", "rank": "bigint", "duration_ms": "bigint", "score": "double"}
 HEAVY_SHARE = 0.02
 
 
@@ -70,9 +72,23 @@ def p3_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of one array level: the dependencies that a node lists, with typed columns."""
+    """The flat table of one array level: the dependencies that a node lists in any layout, with typed columns."""
     objects = nested.flatten(read(spark, d, "nodes"), "seq", "data", ARRAY_FIELDS, root=False)
-    return nested.child_table(objects, "dependencies[]", {"name": "string", "version": "string", "scope": "string"}).distinct()
+    return nested.level_table(objects, "dependencies", {"name": "string", "version": "string", "scope": "string"}).distinct()
+
+
+def _level(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """The child table of one array level of nodes and registry, with the fields that the merged schema has for it."""
+        fields = nested.level_fields(p3_schema(spark, d), ARRAY_FIELDS).get(name, [])
+        parts = [
+            nested.flatten(read(spark, d, table), owner, text, ARRAY_FIELDS, root=False).select(F.lit(table).alias("owner_table"), "*")
+            for table, owner, text in (("nodes", "seq", "data"), ("registry", "graph_id", "summary"))
+        ]
+        columns = {f: NUMBERS.get(f, "string") for f in fields}
+        return nested.level_table(parts[0].unionByName(parts[1]), name, columns, ("owner_table", "owner_id", "object_path", "parent_path", "ordinal")).distinct()
+
+    return query
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +115,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_schema": p3_schema,
     "p3_dependencies": p3_dependencies,
+    **{f"p3_level_{name}": _level(name) for name in ARRAY_FIELDS},
     "p5_found": p5_found,
     "p5_targets": _profile("target"),
     "p5_kinds": _profile("kind"),

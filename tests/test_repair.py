@@ -126,3 +126,26 @@ def test_split_lookup_keeps_every_row(spark):
     left = {(r.k, r.i, r.v) for r in skew.split_lookup(facts, lookup, "k").collect()}
     assert left == {("hot", i, "h") for i in range(1, 500, 2)} | {(f"k{i}", i, "two" if i == 2 else None) for i in range(0, 500, 2)} | {(None, -1, None)}
     assert skew.split_lookup(facts, lookup, "k", how="inner").count() == 251
+
+
+def test_every_array_level_has_a_whole_child_table(spark):
+    from loomgraph.plans import repair
+
+    base = "/root/testdata/sf0.001"
+    found = repair.p3_found(spark, base).count()
+    tables = [repair.QUERIES[f"p3_level_{name}"](spark, base) for name in repair.ARRAY_FIELDS]
+    assert found > 0 and sum(t.count() for t in tables) == found
+    assert {"name", "version", "scope"} <= set(tables[repair.ARRAY_FIELDS.index("dependencies")].columns)
+
+
+def test_dependencies_of_any_layout(spark, tmp_path):
+    from loomgraph.plans import repair
+
+    rows = [(1, '{"dependencies": [{"name": "a", "version": "1.10"}]}'), (2, '{"graph": {"dependencies": {"name": "b", "Owner_ID": 3}}}'), (3, '{"my_dependencies": [{"name": "c"}]}')]
+    spark.createDataFrame(rows, "seq bigint, data string").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([("g", '{"dependencies": [{"name": "d", "issues": null}]}')], "graph_id string, summary string").write.parquet(f"{tmp_path}/registry.parquet")
+    got = {(r.owner_id, r.object_path, r.name, r.version) for r in repair.p3_dependencies(spark, str(tmp_path)).collect()}
+    assert got == {("1", "dependencies[0]", "a", "1.10"), ("2", "graph.dependencies[0]", "b", None)}
+    both = repair.QUERIES["p3_level_dependencies"](spark, str(tmp_path))
+    assert both.columns == ["owner_table", "owner_id", "object_path", "parent_path", "ordinal", "Owner_ID_", "name", "version"]
+    assert {(r.owner_table, r.owner_id, r.name) for r in both.collect()} == {("nodes", "1", "a"), ("nodes", "2", "b"), ("registry", "g", "d")}
