@@ -82,13 +82,43 @@ def closure(edges: DataFrame) -> DataFrame:
         size = grown
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def kahn(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """The level of each node with an edge that is neither on nor behind a cycle, of a graph in memory."""
+    out: dict[str, list[str]] = defaultdict(list)
+    waits: dict[str, int] = defaultdict(int)
+    for a, b in edges:
+        out[a].append(b)
+        waits[b] += 1
+    placed: dict[str, int] = {}
+    ready, level = [a for a in out if not waits.get(a)], 0
+    while ready:
+        onward = []
+        for a in ready:
+            placed[a] = level
+            for b in out.get(a, ()):
+                waits[b] -= 1
+                if not waits[b]:
+                    onward.append(b)
+        ready, level = onward, level + 1
+    return placed
+
+
+def levels(edges: DataFrame, nodes: DataFrame, local: int = LOCAL_CORE) -> DataFrame:
     """``id, level``: the length of the longest path to each node of an acyclic graph.
 
     Nodes on or behind a cycle have level null. A round takes the nodes whose predecessors all have
-    a level (Kahn), so there are as many rounds as levels.
+    a level (Kahn), so there are as many rounds as levels; at most ``local`` edges (counted) go to one task.
     """
     pairs = cut(edges.select("src", "dst").distinct())
+    if pairs.count() <= local:
+
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame(list(kahn([tuple(r) for b in batches for r in b.itertuples(index=False)]).items()), columns=["id", "level"])
+
+        placed_ = pairs.coalesce(1).mapInPandas(solve, "id string, level int")
+        behind = pairs.select(F.col("dst").alias("id")).distinct().withColumn("behind", F.lit(True))
+        out = nodes.select("id").distinct().join(placed_, "id", "left").join(behind, "id", "left")
+        return out.select("id", F.when(F.col("level").isNull() & F.col("behind").isNull(), 0).otherwise(F.col("level")).alias("level"))
     left = cut(nodes.select("id").distinct())
     placed, level = [], 0
     while True:
@@ -268,10 +298,10 @@ def break_cycles(edges: DataFrame) -> DataFrame:
     return marked.select("src", "dst", "kind").unionByName(copies).unionByName(inside)
 
 
-def simple_cycles(edges: DataFrame, longest: int, limit: int | None = None) -> DataFrame:
-    """``cycle, length``: simple cycles of up to ``longest`` nodes, each from its least node on.
+def simple_cycles(edges: DataFrame, longest: int | None = None, limit: int | None = None) -> DataFrame:
+    """``cycle, length``: simple cycles of up to ``longest`` nodes (by default of any number), each from its least node on.
 
-    Grown within strong components only, one hop a round; ``limit`` keeps the first by length and text.
+    Grown within strong components only, one hop a round, until no path is left; ``limit`` keeps the first by length and text.
     """
     parts = strong_components(edges)
     pairs = edges.select("src", "dst").distinct()
@@ -280,12 +310,15 @@ def simple_cycles(edges: DataFrame, longest: int, limit: int | None = None) -> D
     inner = cut(pairs.filter("src <> dst").join(a, "src").join(b, "dst").filter("cs = cd").select("src", "dst"))
     paths = inner.filter("src < dst").select(F.array("src", "dst").alias("path"))
     found = [loops]
-    for n in range(2, longest + 1):
+    n = 2
+    while longest is None or n <= longest:
         last = F.element_at("path", -1)
         stepped = cut(paths.withColumn("src", last).join(inner, "src").select("path", "dst"))
         found.append(stepped.filter(F.col("dst") == F.col("path")[0]).select("path"))
-        if n < longest:
-            paths = stepped.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        paths = stepped.filter((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
+        if longest is None and paths.isEmpty():
+            break
+        n += 1
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -511,3 +513,68 @@ def replaced_dependencies(spark: SparkSession, d: str) -> DataFrame:
     out = hierarchy.latest_parents(read(spark, d, "dag_edges").filter("child_id is not null"), "parent_id", "child_id", "recorded_at")
     kept = read(spark, d, "dag_edges").select(package_key("child_id").alias("node")).dropna().distinct()
     return out.join(kept, "node", "left_semi").select(F.col("parent").alias("parent_id"), F.col("node").alias("child_id"))
+
+
+# --- the package graph whole: levels, cycles, paths ------------------------------------------
+
+
+def stated_packages(spark: SparkSession, d: str) -> DataFrame:
+    """``id``: every package that a link names, those that only have no parent too."""
+    return read(spark, d, "dag_edges").select(F.explode(F.array(package_key("parent_id"), package_key("child_id"))).alias("id")).dropna().distinct()
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIR}{_NAMED}, mk AS (SELECT src, dst, a.cluster AS cs, b.cluster AS cd FROM pk LEFT JOIN cm a ON a.id = src LEFT JOIN cm b ON b.id = dst WHERE src <> dst AND (a.cluster IS NULL OR b.cluster IS NULL OR a.cluster <> b.cluster)),
+ bk AS (SELECT src, dst FROM mk UNION SELECT src, cd FROM mk WHERE cd IS NOT NULL UNION SELECT cs, dst FROM mk WHERE cs IS NOT NULL UNION SELECT cs, cd FROM mk WHERE cs IS NOT NULL AND cd IS NOT NULL UNION SELECT cluster, id FROM cm),
+ every AS (SELECT id FROM (SELECT lower(regexp_replace(unnest([parent_id, child_id]), '^\\s+|\\s+$', '', 'g')) AS id FROM dag_edges) WHERE id <> '' UNION SELECT cluster FROM cm),
+ lv(id, l) AS (SELECT id, 0 FROM every WHERE id NOT IN (SELECT dst FROM bk) UNION SELECT bk.dst, lv.l + 1 FROM lv JOIN bk ON bk.src = lv.id) SELECT id, CAST(max(l) AS INTEGER) AS level FROM lv GROUP BY id""",
+    on="",
+)
+def package_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of all packages, and of the clusters of cycles, in the acyclic view."""
+    view = reach.cut(reach.break_cycles(packages(spark, d).withColumn("kind", F.lit("depends_on"))))
+    return reach.levels(view, stated_packages(spark, d).unionByName(package_nodes(view)))
+
+
+_CYCLES = f"""WITH RECURSIVE {_PAIR}{_MUTUAL}, inn AS (SELECT src, dst FROM pk JOIN mu a ON a.id = src JOIN mu b ON b.id = dst WHERE src <> dst AND a.component = b.component),
+ cy(a, b, path) AS (SELECT src, dst, [src, dst] FROM inn WHERE src < dst UNION ALL SELECT cy.a, inn.dst, list_append(path, inn.dst) FROM cy JOIN inn ON inn.src = cy.b WHERE inn.dst > cy.a AND NOT list_contains(path, inn.dst)),
+ al AS (SELECT array_to_string(path, ',') AS cycle, CAST(len(path) AS INTEGER) AS length FROM cy JOIN inn ON inn.src = cy.b AND inn.dst = cy.a UNION ALL SELECT src, 1 FROM pk WHERE src = dst)"""
+
+
+@query(f"{_CYCLES} SELECT cycle, length FROM al", on="")
+def package_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Every simple cycle of packages, however long."""
+    return reach.simple_cycles(packages(spark, d))
+
+
+def _source(summary: str | None) -> str | None:
+    """Where a registered graph comes from, in any layout of its summary."""
+    try:
+        value = json.loads(summary or "")
+        value = json.loads(value) if isinstance(value, str) else value
+        value = value.get("graph", value) if isinstance(value, dict) and "source" not in value else value
+        value = json.loads(value) if isinstance(value, str) else value
+    except ValueError:
+        return None
+    source = value.get("source") if isinstance(value, dict) else None
+    return source if isinstance(source, str) and source.strip() else None
+
+
+@query()
+def package_cycle_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The cycle report: each package of each cycle in order, with the source of its last registration that tells one."""
+    rows = read(spark, d, "registry").select(package_key("graph_id").alias("graph_id"), "registered_at", F.udf(_source, "string")("summary").alias("source"))
+    of = rows.filter("graph_id is not null and source is not null").groupBy("graph_id").agg(F.max(F.struct("registered_at", "source"))["source"].alias("source"))
+    members = package_cycles(spark, d).select("cycle", "length", F.posexplode(F.split("cycle", ",")).alias("position", "graph_id"))
+    return members.join(of, "graph_id", "left").select("cycle", "length", "position", "graph_id", F.coalesce("source", F.lit("unknown")).alias("source"))
+
+
+@query()
+def package_path(spark: SparkSession, d: str) -> DataFrame:
+    """From the package with the most direct dependencies to the farthest it reaches."""
+    pairs = reach.cut(packages(spark, d).filter("src <> dst"))
+    start = pairs.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("id")).first()
+    if start is None:
+        return reach.shortest_path(pairs, "", "")
+    far = reach.distances(pairs, spark.createDataFrame([(start.id,)], "id string")).orderBy(F.desc("hops"), "id").first()
+    return reach.shortest_path(pairs, start.id, far.id)

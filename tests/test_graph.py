@@ -257,3 +257,25 @@ def test_assets_lead_to_artifacts_at_any_distance(spark, tmp_path):
     spark.createDataFrame([tuple(r.get(c) for c in edge.names) for r in rows], edge).write.parquet(f"{tmp_path}/edges.parquet")
     got = {tuple(r) for r in entry.queries()["asset_artifact_export"](spark, str(tmp_path)).collect()}
     assert got == {("a0", "far"), ("h", "near")}
+
+
+@pytest.mark.parametrize("local", [reach.LOCAL_CORE, 0])
+def test_levels_in_a_task_and_on_the_cluster(spark, local):
+    e = pairs(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "p"), ("q", "r"))
+    nodes = spark.createDataFrame([(x,) for x in "abcpqrz"], "id string")
+    assert {r.id: r.level for r in reach.levels(e, nodes, local).collect()} == {"a": 0, "b": 1, "c": 2, "p": None, "q": None, "r": None, "z": 0}
+
+
+def test_packages_have_whole_cycles_with_sources_levels_and_paths(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [*((f"p{i}", f"p{i % 6 + 1}") for i in range(1, 7)), ("p3", "p1"), ("P0 ", "p1"), ("p6", "q"), (None, "alone")]
+    spark.createDataFrame(rows, "parent_id string, child_id string").write.parquet(f"{tmp_path}/dag_edges.parquet")
+    known = [("p1", '{"source": "one"}', 1), ("p2", '{"graph": {"source": "two"}}', 1), ("p3", '"{\\"source\\": \\"three\\"}"', 1), ("p4", '{"sou', 1), ("p1", None, 2)]
+    spark.createDataFrame(known, "graph_id string, summary string, t int").selectExpr("graph_id", "summary", "timestamp_seconds(t) as registered_at").write.parquet(f"{tmp_path}/registry.parquet")
+    run = lambda q: entry.queries()[q](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("package_cycles")} == {("p1,p2,p3", 3), ("p1,p2,p3,p4,p5,p6", 6)}
+    assert {(r.position, r.graph_id, r.source) for r in run("package_cycle_sources") if r.length == 6} == {(0, "p1", "one"), (1, "p2", "two"), (2, "p3", "three"), (3, "p4", "unknown"), (4, "p5", "unknown"), (5, "p6", "unknown")}
+    level = {r.id.split(":")[0]: r.level for r in run("package_levels")}
+    assert level == {"p0": 0, "scc": 1, **{f"p{i}": 2 for i in range(1, 7)}, "q": 3, "alone": 0}
+    assert [tuple(r) for r in run("package_path")] == [("p3,p4,p5,p6,q", 4)]
