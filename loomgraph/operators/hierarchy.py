@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import package_key
-from ..session import cut
-from .skew import split_lookup
+from ..session import cut, release
 
 ON_CYCLE, BELOW_CYCLE = -1, -2
 
@@ -28,9 +27,7 @@ def latest_parents(links: DataFrame, parent: str, child: str, at: str) -> DataFr
     return both.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.p").alias("parent"))
 
 
-def resolve_hierarchy(
-    parents: DataFrame, with_path: bool = False, hot_share: float = 0.02
-) -> DataFrame:
+def resolve_hierarchy(parents: DataFrame, with_path: bool = False) -> DataFrame:
     """Root, depth and (if asked for) path of each node of ``parents(node, parent)``.
 
     Returns ``node_id, root_id, depth[, path]``, the path as an array from the root to the node. A node without parent is a root of depth 0. Nodes
@@ -38,58 +35,56 @@ def resolve_hierarchy(
     both have a null path. ``node`` is unique and not null, and each parent is a node too (see
     :func:`latest_parents`, which gives such a table). An empty table gives an empty result.
 
-    Each node holds a pointer to an ancestor, the distance to it and whether it is a root. A round
-    joins the open pointers with the pointers of the nodes they reach, which doubles the distance;
-    nodes whose pointer reaches a root are done. As the depths of a tree have no gaps, a round in
-    which no node is done leaves only nodes on or below cycles. Those go on doubling until the set
-    of nodes pointed at stops shrinking: that set then is the nodes on cycles. So the rounds are
-    logarithmic in the depth. Many pointers may meet in one ancestor; the join treats such
-    ancestors by :func:`~loomgraph.operators.skew.split_lookup`.
+    One table holds for each node a pointer to an ancestor, the distance to it and whether it is a
+    root. A round joins the open pointers with the table, which doubles the distance; nodes whose
+    pointer reaches a root are done and carried on as they are. As the depths of a tree have no
+    gaps, a round in which no node is done leaves only nodes on or below cycles. Those go on
+    doubling until the set of nodes pointed at stops shrinking: that set then is the nodes on
+    cycles. So the rounds are logarithmic in the depth, and each round's plan is one join of two
+    files. The table has one row per node, so where many pointers meet in one ancestor only their
+    own side is uneven, and adaptive execution splits it (``spark.sql.adaptive.skewJoin``).
     """
-    kept = ["path"] * with_path
-    paths = lambda *c: [F.concat(*c).alias("path")] if with_path else []
+    path = ["path"] * with_path
     # a pointer's path holds the nodes after its target, down to the node itself
-    first = parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("anc"))
-    ends = parents.select(F.col("node").alias("anc"), F.col("parent").isNull().alias("fin"))
-    state = cut(split_lookup(first, ends, "anc", hot_share, how="inner").select("node", "anc", F.lit(1).cast("bigint").alias("dist"), "fin", *paths(F.array("node"))))
-    done, open_ = [state.filter("fin")], state.filter(~F.col("fin"))
-    left = open_.count()
+    start = parents.select(
+        "node", F.coalesce("parent", "node").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
+        F.col("parent").isNull().alias("fin"), *[F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("node")).alias(c) for c in path],
+    )
+    state = cut(start)
+    left = state.filter(~F.col("fin")).count()
     while left:
-        reached = open_
-        for part in done:
-            reached = reached.unionByName(part)
-        reached = reached.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("fin").alias("fin2"), *[F.col(c).alias(f"{c}2") for c in kept])
-        state = cut(
-            split_lookup(open_.drop("fin"), reached, "anc", hot_share, how="inner").select(
-                "node", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("fin2").alias("fin"), *paths("path2", "path")
-            )
-        )
-        done.append(state.filter("fin"))
-        open_ = state.filter(~F.col("fin"))
-        before, left = left, open_.count()
+        ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("fin").alias("fin2"), *[F.col(c).alias(f"{c}2") for c in path])
+        moved = state.filter(~F.col("fin")).drop("fin").join(ahead, "anc").select(
+            "node", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("fin2").alias("fin"), *[F.concat(f"{c}2", c).alias(c) for c in path]
+        )
+        new = cut(state.filter("fin").unionByName(moved))
+        release(state)
+        state = new
+        before, left = left, state.filter(~F.col("fin")).count()
         if left == before:
             break
-    roots = parents.filter(F.col("parent").isNull())
-    out = roots.select(F.col("node").alias("node_id"), F.col("node").alias("root_id"), F.lit(0).cast("bigint").alias("depth"), *paths(F.array("node")))
-    for part in done:
-        out = out.unionByName(part.select(F.col("node").alias("node_id"), F.col("anc").alias("root_id"), F.col("dist").alias("depth"), *paths(F.array("anc"), "path")))
+    out = state.filter("fin").select(F.col("node").alias("node_id"), F.col("anc").alias("root_id"), F.col("dist").alias("depth"), *[F.concat(F.array("anc"), c).alias(c) for c in path])
     if left:
-        lost = _cyclic(open_.select("node", "anc"), hot_share)
-        out = out.unionByName(lost.select("*", *[F.lit(None).cast("array<string>").alias(c) for c in kept]))
+        lost = _cyclic(state.filter(~F.col("fin")).select("node", "anc"))
+        out = out.unionByName(lost.select("*", *[F.lit(None).cast("array<string>").alias(c) for c in path]))
     return out
 
 
-def _cyclic(pointers: DataFrame, hot_share: float) -> DataFrame:
-    """Nodes on (-1) and below (-2) cycles, from pointers ``node, anc`` that never end."""
-    seen = -1
-    while True:
-        image = pointers.select(F.col("anc").alias("node")).distinct()
-        size = image.count()
-        if size == seen:
-            break
-        seen = size
-        pointers = cut(split_lookup(pointers, pointers.select(F.col("node").alias("anc"), F.col("anc").alias("a2")), "anc", hot_share, how="inner").select("node", F.col("a2").alias("anc")))
-    marked = pointers.select("node").join(image.withColumn("on", F.lit(True)), "node", "left")
+def _cyclic(pointers: DataFrame) -> DataFrame:
+    """Nodes on (-1) and below (-2) cycles, from pointers ``node, anc`` that never end.
+
+    ``image`` is what the pointers point at, with its own pointers: a smaller table in each round.
+    The nodes themselves need no further rounds; they are on a cycle if they are in the last image.
+    """
+    image = cut(pointers.join(pointers.select(F.col("anc").alias("node")).distinct(), "node", "left_semi"))
+    size, seen = image.count(), pointers.count()
+    while size != seen:
+        # each node of the image moves to what its target points at
+        moved = image.join(image.select(F.col("node").alias("anc"), F.col("anc").alias("a2")), "anc").select("node", F.col("a2").alias("anc"))
+        nxt = cut(moved.join(moved.select(F.col("anc").alias("node")).distinct(), "node", "left_semi"))
+        release(image)
+        image, seen, size = nxt, size, nxt.count()
+    marked = pointers.select("node").join(image.select("node", F.lit(True).alias("on")), "node", "left")
     depth = F.when(F.col("on"), ON_CYCLE).otherwise(BELOW_CYCLE).cast("bigint")
     return marked.select(F.col("node").alias("node_id"), F.lit("").alias("root_id"), depth.alias("depth"))
 
@@ -112,10 +107,11 @@ def cycle_members(parents: DataFrame, resolved: DataFrame) -> DataFrame:
     Doubles again over the nodes on cycles only, carrying the least id seen, until no id changes.
     """
     on = resolved.filter(F.col("depth") == ON_CYCLE).select(F.col("node_id").alias("node"))
-    state = cut(parents.join(on, "node").select("node", F.col("parent").alias("anc"), F.least("node", "parent").alias("low")))
+    state = cut(parents.join(on, "node").select("node", F.col("parent").alias("anc"), F.least("node", "parent").alias("low"), F.lit(True).alias("fell")))
     while True:
-        nxt = state.select(F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("low").alias("low2"))
-        moved = cut(state.join(nxt, "anc").select("node", F.col("a2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
-        state = moved.drop("fell")
+        ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("a2"), F.col("low").alias("low2"))
+        moved = cut(state.drop("fell").join(ahead, "anc").select("node", F.col("a2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")))
+        release(state)
+        state = moved
         if moved.filter("fell").isEmpty():
             return state.select(F.col("low").alias("cycle_id"), F.col("node").alias("node_id"))

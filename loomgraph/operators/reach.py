@@ -13,19 +13,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release, together
 
 #: Edges of a cyclic core that a single task may take; larger cores are coloured on the cluster.
 LOCAL_CORE = 500_000
 #: What is seen is kept as the frontiers of so many rounds, then put together.
-PARTS = 12
+PARTS = 24
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _one(seen: list[DataFrame]) -> DataFrame:
+    """What is seen so far as one scan; after many rounds all parts but the last are put together in place."""
+    if len(seen) > PARTS:
+        whole = cut(together(*seen[:-1]))
+        release(*seen[:-1])
+        seen[:-1] = [whole]
+    return together(*seen)
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -33,14 +35,12 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     pairs = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     frontier = cut(seeds.select("id").distinct())
     seen = [frontier]
-    while True:
+    while not frontier.isEmpty():
         found = frontier.join(pairs, frontier["id"] == pairs["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(found.join(_union(seen), "id", "left_anti"))
-        if frontier.isEmpty():
-            return _union(seen)
+        frontier = cut(found.join(_one(seen), "id", "left_anti"))
         seen.append(frontier)
-        if len(seen) > PARTS:
-            seen = [cut(_union(seen))]
+    release(pairs)
+    return together(*seen)
 
 
 def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -52,34 +52,32 @@ def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
     pairs = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     frontier, hops = cut(seeds.select(F.col("id").alias("origin"), "id", F.lit(0).alias("hops")).distinct()), 0
     seen = [frontier]
-    while most is None or hops < most:
+    while (most is None or hops < most) and not frontier.isEmpty():
         hops += 1
         found = frontier.join(pairs, frontier["id"] == pairs["src"]).select("origin", F.col("dst").alias("id"), F.lit(hops).alias("hops")).distinct()
-        frontier = cut(found.join(_union(seen), ["origin", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
+        frontier = cut(found.join(_one(seen), ["origin", "id"], "left_anti"))
         seen.append(frontier)
-        if len(seen) > PARTS:
-            seen = [cut(_union(seen))]
-    return _union(seen)
+    release(pairs)
+    return together(*seen)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """``src, dst``: all pairs with a path of one edge or more between them, by squaring.
 
-    Logarithmic in the longest shortest path; the result has all pairs, so it is for graphs whose
-    closure can be stored.
+    Logarithmic in the longest shortest path: only the pairs that are new in a round meet all pairs in
+    the next. The result has all pairs, so it is for graphs whose closure can be stored.
     """
-    known = cut(edges.select("src", "dst").distinct())
-    size = known.count()
-    while True:
+    fresh = cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    seen = [fresh]
+    while not fresh.isEmpty():
+        known = _one(seen)
         onward = known.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
-        longer = known.join(onward, known["dst"] == onward["mid"]).select("src", F.col("to").alias("dst"))
-        known = cut(known.unionByName(longer).distinct())
-        grown = known.count()
-        if grown == size:
-            return known
-        size = grown
+        before = known.select(F.col("src").alias("from"), F.col("dst").alias("mid"))
+        longer = fresh.select("src", F.col("dst").alias("mid")).join(onward, "mid").select("src", F.col("to").alias("dst"))
+        longer = longer.unionByName(fresh.select(F.col("src").alias("mid"), "dst").join(before, "mid").select(F.col("from").alias("src"), "dst"))
+        fresh = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"))
+        seen.append(fresh)
+    return together(*seen)
 
 
 def kahn(edges: list[tuple[str, str]]) -> dict[str, int]:
@@ -330,18 +328,20 @@ def weak_components(edges: DataFrame) -> DataFrame:
     """``id, component`` (least member): minimum labels spread both ways, with shortcuts.
 
     A round takes the least label of a node's neighbours, then the label of its label, so the labels
-    run along long chains in a logarithmic number of rounds in practice.
+    run along long chains in a logarithmic number of rounds in practice. A label's own row is the
+    hub of its component; it meets the others through a table of one row per node.
     """
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
-    label = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("c")))
-    while True:
-        near = both.join(label.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
-        low = label.join(near, "id", "left").select("id", F.least("c", "n").alias("c"))
+    label = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("c"), F.lit(True).alias("fell")))
+    while not label.filter("fell").isEmpty():
+        near = both.join(label.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
+        low = label.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         short = label.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = cut(low.join(short, "c", "left").select("id", F.least("c", "cc").alias("c")))
-        if new.join(label, ["id", "c"], "left_anti").isEmpty():
-            return label.withColumnRenamed("c", "component")
+        new = cut(low.join(short, "c", "left").select("id", F.least("c", "cc").alias("c"), (F.least("c", "cc") < F.col("old")).alias("fell")))
+        release(label)
         label = new
+    release(both)
+    return label.select("id", F.col("c").alias("component"))
 
 
 def common_ancestor(edges: DataFrame, first: str, second: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_descendants_and_cycles(spark):
     done = H.resolve_hierarchy(df, with_path=True)
     assert {tuple(r) for r in H.descendants(done).collect()} == {("r", "a", 1), ("r", "b", 2), ("a", "b", 1)}
     assert {tuple(r) for r in H.cycle_members(df, done).collect()} == {("x", "x"), ("x", "y")}
+
+
+def test_size_estimates_stay_flat_over_many_rounds(spark):
+    from loomgraph.session import cut, release
+
+    df = cut(spark.createDataFrame([(f"n{i}", f"n{i // 2}") for i in range(50)], "node string, anc string"))
+    sizes = []
+    for _ in range(25):
+        new = cut(df.join(df.selectExpr("node as anc", "anc as a2"), "anc").selectExpr("node", "a2 as anc"))
+        release(df)
+        df = new
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+    assert max(sizes) <= 24
