@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, nested, orphans, skew
+from ..session import cut
 from ..tables import read
 
 #: The fields of the nested records that mean arrays.
@@ -56,11 +57,8 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
-    for table, owner, text in (("nodes", "seq", "data"), ("registry", "graph_id", "summary")):
-        found = nested.flatten(read(spark, d, table), owner, text, ARRAY_FIELDS, root=False)
-        parts.append(found.select(F.lit(table).alias("owner_table"), "owner_id", "object_path", "parent_path"))
-    return parts[0].unionByName(parts[1]).distinct()
+    found = nested.flatten(_records(spark, d), "owner_id", "text", ARRAY_FIELDS, root=False, fields=False, keep=("owner_table",))
+    return found.select("owner_table", "owner_id", "object_path", "parent_path").distinct()
 
 
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +78,11 @@ def p3_dependencies(spark: SparkSession, d: str) -> DataFrame:
 def _level(name: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         """The child table of one array level of nodes and registry, with the fields that the merged schema has for it."""
-        fields = nested.level_fields(p3_schema(spark, d), ARRAY_FIELDS).get(name, [])
-        parts = [
-            nested.flatten(read(spark, d, table), owner, text, ARRAY_FIELDS, root=False).select(F.lit(table).alias("owner_table"), "*")
-            for table, owner, text in (("nodes", "seq", "data"), ("registry", "graph_id", "summary"))
-        ]
-        columns = {f: NUMBERS.get(f, "string") for f in fields}
-        return nested.level_table(parts[0].unionByName(parts[1]), name, columns, ("owner_table", "owner_id", "object_path", "parent_path", "ordinal")).distinct()
+        records = _records(spark, d)
+        schema = cut(nested.infer(records, "text", ARRAY_FIELDS))
+        columns = {f: NUMBERS.get(f, "string") for f in nested.level_fields(schema, ARRAY_FIELDS).get(name, [])}
+        objects = nested.flatten(records, "owner_id", "text", ARRAY_FIELDS, root=False, schema=schema, keep=("owner_table",))
+        return nested.level_table(objects, name, columns, ("owner_table", "owner_id", "object_path", "parent_path", "ordinal")).distinct()
 
     return query
 

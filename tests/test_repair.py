@@ -59,7 +59,7 @@ ARRAYS = ("targets", "inputs")
 
 
 def cases(text):
-    return sorted((p, parent) for t, p, parent, _, _ in nested.objects_in(text, frozenset(ARRAYS)) if t)
+    return sorted((p, parent) for element, _, p, parent, _, _ in nested.objects_in(text, frozenset(ARRAYS)) if element)
 
 
 def test_nested_places():
@@ -91,10 +91,31 @@ def test_nested_tables(spark):
     flat = {(r.owner_id, r.name, r.n) for r in nested.child_table(out, "targets[]", {"name": "string", "n": "int"}).collect()}
     assert flat == {("1", "x", 3), (None, None, None)}
     schema = {(r.table_path, r.field, r.kind, r.seen) for r in nested.merged_schema(df, "seq", "data", ARRAYS).collect()}
-    assert schema == {("targets[]", "name", "text", 1), ("targets[]", "name", "null", 1), ("targets[]", "n", "number", 1), ("targets[]", "ok", "boolean", 1), ("targets[].inputs[]", "f", "text", 1)}
+    assert schema == {("", "targets", "array", 3), ("targets[]", "name", "text", 1), ("targets[]", "name", "null", 1), ("targets[]", "n", "number", 1), ("targets[]", "ok", "boolean", 1), ("targets[]", "inputs", "array", 1), ("targets[].inputs[]", "f", "text", 1)}
     assert nested.flatten(df.limit(0), "seq", "data", ARRAYS).count() == 0
 
 
+ODD = [
+    '{"targets": [{"n": %s}]}' % ("7" * 5000), '{"a": ' * 5000 + '{"targets": [{}]}' + "}" * 5000, '{"targets": [{"s": "\\ud800"}]}', '{"targets": [{"a": 1, "a": 2}]}',
+    '{"targets": [{"s": "1.0", "f": 1.0, "t": "true", "b": true}]}', '{"targets": [{}]} {}', '{"targets": [{}]}]', '{"targets": [{}]},"x":{"y":1}', json.dumps(json.dumps({"inputs": {"k": "[[{}]"}})),
+    json.dumps({"k": '{"inputs": {"a": 1, "a": 2}}'}), json.dumps({"k": '{"inputs": [{"n": %s}]}' % ("1" * 2000)}), "[[], [{}, null, [{}]]]", '"x"', '{"": [{"": [{}]}], "a.b": [{}], "c[]": [{}]}', "{" * 50,
+]
+
+
+def test_every_record_as_the_walk_reads_it(spark):
+    deep = '{"x": [' * 40 + '{"targets": [{"inputs": {}}]}' + "]}" * 40
+    rows = [(str(i), t) for i, t in enumerate([*ODD, deep, None, "", " "])]
+    want = {(k, p, parent, i) for k, t in rows for element, _, p, parent, i, _ in nested.objects_in(t, frozenset(ARRAYS)) if element}
+    df = spark.createDataFrame(rows, "k string, t string")
+    found = nested.flatten(df, "k", "t", ARRAYS, root=False)
+    assert {(r.owner_id, r.object_path, r.parent_path, r.ordinal) for r in found.collect()} == want
+    assert {"0", "1", "2", "3", "9", "10"} <= {k for k, *_ in want} and not {"5", "6", "7", "14"} & {k for k, *_ in want}
+    fields = {r.owner_id: r.fields for r in found.collect() if r.owner_id in ("2", "4")}
+    assert fields == {"2": {"s": "?"}, "4": {"s": "1.0", "f": "1.0", "t": "true", "b": "true"}}
+    kinds = {(r.field, r.kind) for r in nested.merged_schema(df.filter("k = '4'"), "k", "t", ARRAYS).collect() if r.table_path}
+    assert kinds == {("s", "text"), ("f", "number"), ("t", "text"), ("b", "boolean")}
+
+
 def test_wide_record(spark):
     text = json.dumps({"targets": [{"i": i} for i in range(50_000)]})
     assert nested.flatten(spark.createDataFrame([("a", text)], "k string, t string"), "k", "t", ARRAYS, root=False).count() == 50_000
