@@ -223,8 +223,8 @@ def _kids(c: Column, names: list[str], look: set[str] | None) -> Column:
     kind = lambda s: F.when(s.startswith("ARRAY<"), "array").when(s.startswith("OBJECT<"), "object")
     typed = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), x["v"].alias("v"), F.schema_of_variant(x["v"]).alias("s"))
     said = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), x["v"].alias("v"), kind(x["s"]).alias("k"), F.when(x["s"] == "STRING", F.try_variant_get(x["v"], "$", "string")).alias("t"))
-    read = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), F.when(x["t"].isNull(), x["v"]).otherwise(_read(x["t"])).alias("v"), x["t"].alias("t"))
-    again = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), x["v"].alias("v"), kind(F.schema_of_variant(x["v"])).alias("k"), x["t"].alias("t"))
+    read = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), F.when(x["t"].isNull(), x["v"]).otherwise(_read(x["t"])).alias("v"), x["k"].alias("k"), x["t"].alias("t"))
+    again = lambda x: F.struct(x["key"].alias("key"), x["i"].alias("i"), x["v"].alias("v"), F.when(x["t"].isNull(), x["k"]).otherwise(kind(F.schema_of_variant(x["v"]))).alias("k"), x["t"].alias("t"))
     # a bare object where an array is meant is its element 0
     bare = lambda x: F.struct(x["key"].alias("key"), F.when(F.coalesce((x["k"] == "object") & F.array_contains(F.array(*map(F.lit, names)), x["key"]), F.lit(False)), -1).when(x["k"] == "object", x["i"]).alias("o"), x["i"].alias("i"), F.when(x["k"].isNotNull(), x["v"]).alias("v"), F.when(x["k"].isNull(), x["t"]).alias("text"))
     step = lambda x: F.struct(F.coalesce(F.concat(F.lit("."), x["key"], F.when(x["o"] == -1, "[]").otherwise("")), F.lit("[]")).alias("table"), F.coalesce(F.concat(F.lit("."), x["key"], F.when(x["o"] == -1, "[0]").otherwise("")), F.concat(F.lit("["), x["i"].cast("string"), F.lit("]"))).alias("place"), F.when(x["o"].isNotNull(), F.greatest(x["o"], F.lit(0))).cast("bigint").alias("ordinal"), x["key"].alias("name"), x["v"].alias("v"), x["text"].alias("text"))
@@ -304,7 +304,7 @@ _LONG_NUMBER = re.compile(r"\d{300}")
 
 
 def infer(records: DataFrame, text: str, arrays: Iterable[str] = ()) -> DataFrame:
-    """The merged schema as :func:`merged_schema` gives it, and rows of kind ``unread`` for texts within records that only the walk can read.
+    """The merged schema as :func:`merged_schema` gives it, and rows of kind ``level`` for the places of objects, of kind ``unread`` for texts within records that only the walk can read.
 
     One pass; a task adds up what it sees and hands on one row per field and kind.
     """
@@ -315,6 +315,7 @@ def infer(records: DataFrame, text: str, arrays: Iterable[str] = ()) -> DataFram
         for b in batches:
             for value in b.column(0):
                 for _, table, _, _, _, entries in objects_in(value.as_py(), names, note=lambda place: counts.update([(place, "", "unread")])):
+                    counts[table, "", "level"] += 1
                     counts.update((table, e["key"], e["kind"]) for e in entries)
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], ["table_path", "field", "kind", "seen"])
@@ -332,7 +333,7 @@ def merged_schema(records: DataFrame, owner: str, text: str, arrays: Iterable[st
     counts as that, a bare object in a field of ``arrays`` as an array. One aggregate over all
     records, of which a task hands on one row per field and kind.
     """
-    return infer(records, text, arrays).filter("kind <> 'unread'")
+    return infer(records, text, arrays).filter("kind not in ('level', 'unread')")
 
 
 def plan_levels(schema: DataFrame) -> tuple[int, set[str] | None, bool]:
@@ -341,17 +342,18 @@ def plan_levels(schema: DataFrame) -> tuple[int, set[str] | None, bool]:
     The places come to the driver if they are no more than PRUNE_FIELDS; else every field is looked
     into. Fields that hold an object or array in no record are never looked into.
     """
-    place = F.when(F.col("table_path") == "", F.col("field")).otherwise(F.concat("table_path", F.lit("."), "field"))
-    # an explode for each field and each position on the way, and one more; dots in names only make it more
-    steps = F.size(F.split("place", r"\.")) + F.size(F.split("place", r"\[\]")) + 1
-    holders = schema.filter(F.col("kind").isin("array", "object", "unread")).select(place.alias("place"), (F.col("kind") == "unread").alias("walk"))
-    known = holders.groupBy("place").agg(F.max("walk").alias("walk")).select("walk", steps.alias("steps"), F.when(steps <= MOST_LEVELS, F.col("place")).alias("place"))
-    # places below the last level that is exploded don't come to the driver, they are only told of
-    rows = known.groupBy("walk", F.least("steps", F.lit(MOST_LEVELS + 1)).alias("steps"), "place").agg(F.lit(1)).limit(PRUNE_FIELDS + 1).collect()
-    levels = max((r.steps for r in rows if not r.walk), default=1)
+    holds, here = F.col("kind").isin("array", "object"), F.col("table_path")
+    place = F.when(~holds, here).when(here == "", F.col("field")).otherwise(F.concat(here, F.lit("."), "field"))
+    # an explode for each field and each position on the way; dots in names only make it more
+    steps = F.when(place == "", 0).otherwise(F.size(F.split(place, r"\.")) + F.size(F.split(place, r"\[\]")) - 1)
+    known = schema.filter(holds | F.col("kind").isin("level", "unread")).select(F.when(holds, "look").otherwise(F.col("kind")).alias("kind"), steps.alias("steps"), place.alias("place"))
+    # a place on the way comes to the driver if it is one that is exploded, of all others only their depth
+    shown = F.when((F.col("kind") == "look") & (F.col("steps") <= MOST_LEVELS), F.col("place"))
+    rows = known.select("kind", F.least("steps", F.lit(MOST_LEVELS + 1)).alias("steps"), shown.alias("place")).distinct().limit(PRUNE_FIELDS + 1).collect()
+    levels = max((r.steps for r in rows if r.kind == "level"), default=0)
     if len(rows) > PRUNE_FIELDS or levels > MOST_LEVELS:
         return MOST_LEVELS, None, True
-    return levels, {r.place for r in rows if not r.walk}, any(r.walk for r in rows)
+    return levels, {r.place for r in rows if r.kind == "look"}, any(r.kind == "unread" for r in rows)
 
 
 def flatten(records: DataFrame, owner: str, text: str, arrays: Iterable[str] = (), root: bool = True, schema: DataFrame | None = None, fields: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -420,6 +422,7 @@ def level_fields(schema: DataFrame, arrays: Iterable[str] = ()) -> dict[str, lis
     fields that hold only objects or arrays.
     """
     scalar, holds = F.col("kind").isin("text", "number", "boolean"), F.col("kind").isin("object", "array")
+    schema = schema.filter("kind not in ('level', 'unread')")
     rows = schema.filter(r"table_path rlike '\\[\\]$'").groupBy(level("table_path").alias("level"), "field").agg(F.max(scalar).alias("some"), F.max(holds).alias("holds")).orderBy("level", "field").collect()
     names, out = set(arrays), {}
     for r in rows:

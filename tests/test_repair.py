@@ -97,7 +97,7 @@ def test_nested_tables(spark):
 
 ODD = [
     '{"targets": [{"n": %s}]}' % ("7" * 5000), '{"a": ' * 5000 + '{"targets": [{}]}' + "}" * 5000, '{"targets": [{"s": "\\ud800"}]}', '{"targets": [{"a": 1, "a": 2}]}',
-    '{"targets": [{"s": "1.0", "f": 1.0, "t": "true", "b": true}]}', '{"targets": [{}]} {}', '{"targets": [{}]}]', '{"targets": [{}]},"x":{"y":1}', json.dumps(json.dumps({"inputs": {"k": "[[{}]"}})),
+    '{"targets": [{"s": "1.0", "f": 1.5, "t": "true", "b": true}]}', '{"targets": [{}]} {}', '{"targets": [{}]}]', '{"targets": [{}]},"x":{"y":1}', json.dumps(json.dumps({"inputs": {"k": "[[{}]"}})),
     json.dumps({"k": '{"inputs": {"a": 1, "a": 2}}'}), json.dumps({"k": '{"inputs": [{"n": %s}]}' % ("1" * 2000)}), "[[], [{}, null, [{}]]]", '"x"', '{"": [{"": [{}]}], "a.b": [{}], "c[]": [{}]}', "{" * 50,
 ]
 
@@ -111,11 +111,16 @@ def test_every_record_as_the_walk_reads_it(spark):
     assert {(r.owner_id, r.object_path, r.parent_path, r.ordinal) for r in found.collect()} == want
     assert {"0", "1", "2", "3", "9", "10"} <= {k for k, *_ in want} and not {"5", "6", "7", "14"} & {k for k, *_ in want}
     fields = {r.owner_id: r.fields for r in found.collect() if r.owner_id in ("2", "4")}
-    assert fields == {"2": {"s": "?"}, "4": {"s": "1.0", "f": "1.0", "t": "true", "b": "true"}}
+    assert fields == {"2": {"s": "?"}, "4": {"s": "1.0", "f": "1.5", "t": "true", "b": "true"}}
     kinds = {(r.field, r.kind) for r in nested.merged_schema(df.filter("k = '4'"), "k", "t", ARRAYS).collect() if r.table_path}
     assert kinds == {("s", "text"), ("f", "number"), ("t", "text"), ("b", "boolean")}
 
 
+def test_arrays_in_arrays_are_opened_to_the_end(spark):
+    df = spark.createDataFrame([("a", '{"k": [[[[[{}]]]]]}')], "k string, t string")
+    assert [r.object_path for r in nested.flatten(df, "k", "t", (), root=False).collect()] == ["k[0][0][0][0][0]"]
+
+
 def test_wide_record(spark):
     text = json.dumps({"targets": [{"i": i} for i in range(50_000)]})
     assert nested.flatten(spark.createDataFrame([("a", text)], "k string, t string"), "k", "t", ARRAYS, root=False).count() == 50_000
@@ -154,9 +159,9 @@ def test_every_array_level_has_a_whole_child_table(spark):
 
     base = "/root/testdata/sf0.001"
     found = repair.p3_found(spark, base).count()
-    tables = [repair.QUERIES[f"p3_level_{name}"](spark, base) for name in repair.ARRAY_FIELDS]
-    assert found > 0 and sum(t.count() for t in tables) == found
-    assert {"name", "version", "scope"} <= set(tables[repair.ARRAY_FIELDS.index("dependencies")].columns)
+    tables = {name: repair.QUERIES[f"p3_level_{name}"](spark, base) for name in repair.ARRAY_FIELDS}
+    assert found > 0 and sum(t.count() for t in tables.values()) == found
+    assert {"name", "version", "scope"} <= set(tables["dependencies"].columns)
 
 
 def test_dependencies_of_any_layout(spark, tmp_path):
