@@ -81,37 +81,89 @@ def name_variants(spdx: str, title: str, former: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-#: Templates of sentences that state terms. {n}: a name.
-STATES = (
-    "{n}", "SPDX-License-Identifier: {n}", "@license {n}", "License: {n}", "Licensed under the {n}.", "Released under the {n} without any warranty.",
-    "Use and redistribution of this code are governed by the {n}.", "Made available to you under the {n}, provided that this notice stays in place.",
-    "Terms of use: {n}.", "You may use this source file under the {n}; see the file LICENSE for the wording.", "This file is distributed under the terms of the {n}.",
-    "The {n} applies to everything in this file.", "Copies and changed versions may be passed on if the {n} is followed.", "The authors place this code under the {n}.",
-    "This work is made available under the {n}.", "Use of this file is allowed only under the {n}.", "Governed by the {n}, revision 2.", "This program is free software under the terms of the {n}.",
-    "Subject to the {n}.", "Distributed under the {n}.", "Licensed under your choice of the {n}", "You may pick either the {n}", "Parts of this file are under the {n}", "and parts under the {n}; both apply.",
-    "the {n} for this file.", "Dual licensed under the {n}",
+# The sentences to learn from are put together by rule, after public guides on how to apply licenses;
+# no wording is taken from the texts that are read. {n}: a name.
+#: Tags and bare names.
+TAGS = ("{n}", "SPDX-License-Identifier: {n}", "@license {n}", "License: {n}")
+_THINGS = ("this library", "the code in this directory", "this module", "this component", "the software", "this product", "these sources", "the accompanying source", "this header", "each source in this package", "the package", "everything here", "all content of the file", "every line below", "the whole file", "this code", "this work", "our code")
+_GRANTS = (
+    "is free software under", "is licensed to you under", "is offered under", "is provided under", "is published under", "is covered by", "may be copied under", "can be reused under", "is shared under",
+    "is placed under", "is open source under", "is governed by", "is subject to", "is available under", "is distributed under", "is released to the public under", "must only be used under", "falls under",
 )
-#: Templates of sentences that mention names without stating terms, and of sentences without any.
-SILENT = (
-    "Not covered by the {n}.", "Checks whether a package is compatible with the {n}.", "Checks if a file is under the {n}.", "This code isn't under the {n}.", "Unlike files under the {n}, this one is ours.",
-    "Finds packages that come with the {n}.", "Compares a text with the {n}.", "Tests for the {n} detector.", "Converts {n} headers to tags.", "Lists projects that use the {n}.",
+_VIA = ("the {n}", "the rules of the {n}", "the conditions of the {n}", "the {n} license", "{n}")
+_TAILS = ("", ".", ", without warranty of any kind.", "; a copy ships with the sources.", ", provided this header is retained.", ". You may obtain a copy from its publisher.", ", at no charge.")
+_OTHER_GRANTS = (
+    "you can redistribute it and/or modify it under {v}{t}", "permission to copy, modify and distribute is granted under {v}{t}", "you may not use it except in compliance with {v}{t}", "we license {x} to you under {v}{t}", "the contributors offer {x} under {v}{t}", "terms: {v}{t}", "licensing terms for {x}: {v}{t}", "usage of {x} is permitted under {v}{t}", "copying is allowed if {v} is obeyed{t}",
+    "use of {x} is governed by {v}{t}", "copying of {x} is governed by {v}{t}", "use and copying of {x} are bound by {v}{t}", "we put {x} under {v}{t}", "the owners have put {x} under {v}{t}", "the writers put {x} under {v}{t}", "copies may be passed on under {v}{t}", "changed versions may be shared when {v} is obeyed{t}",
+    "some pieces of {x} are under {v}", "a portion of {x} comes under {v}", "the rest of {x} comes under {v}, and both bind you", "sections of {x} are under {v}", "and sections under {v}, all of which apply", "some portions are under {v}, others under {v}",
+    "licensed under {v}{t}", "made public under {v}{t}", "under {v}{t}", "choose {v}{t}", "at your preference {v}{t}", "one portion is under {v}", "and the remaining portion under {v}, each of which binds you.",
 )
+_RULES = ("governs", "covers", "applies to", "holds for", "regulates", "is in force for")
+_READERS = ("this helper", "the function", "a regression check", "our scanner", "this script", "the report", "the parser")
+_LOOKS = ("checks whether a dependency is under {v}", "recognises {v}", "searches for texts of {v}", "prints which modules use {v}", "rewrites mentions of {v}", "counts projects that carry {v}", "downloads the wording of {v}", "matches a file against {v}", "decides if an import is compatible with {v}", "warns about components with {v}")
+_DENIALS = (
+    "{x} is not licensed under {v}{t}", "{x} isn't under {v}{t}", "{x} does not come under {v}{t}", "{v} does not apply to {x}", "{x} is not subject to {v}", "it was never released under {v}",
+    "not {p} {v}", "{x} is not {p} {v}{t}", "never {p} {v}{t}", "isn't {p} {v}", "neither is {x} {p} {v}", "nothing here is {p} {v}", "in contrast to code under {v}, {x} is our own", "unlike work under {v}, {x} belongs to us", "compare with the sample of {v}", "tests the detection of {v}", "turns headers of {v} into short tags",
+)
+_PUT = ("licensed under", "released under", "bound by", "governed by", "distributed under", "offered under", "subject to", "published under", "regulated by", "held to")
+_POINTS = ("see", "refer to", "consult", "read", "please look at", "the terms can be found in", "license details are given in", "for copying conditions see", "the wording of the license is in", "the license text resides in")
+_PLACES = ("the LICENSE file", "LICENSE", "COPYING", "the file LICENSE in the root directory", "the file COPYING at the top level", "the NOTICE file", "the license file that ships with the sources", "LICENSE.txt for more information")
+# sentences of license texts and headers that name no license
 PLAIN = (
-    "See the file LICENSE at the top of the tree.", "License terms are in the LICENSE file.", "SEE LICENSE IN LICENSE", "See LICENSE for details.", "The license is in the file COPYING.", "For the license terms see the file COPYING.", "The terms are in the LICENSE file at the root.", "Refer to the license file for the terms of use.", "License information is in the file NOTICE.", "All rights reserved.",
-    "Copyright the project authors", "Keeps one thing before another", "Reads the table for the cache", "One for all", "Anyone who receives a copy may use it, change it and hand it on.", "The notice above has to stay with every copy.",
-    "Names of the authors may not be used to advertise other works.", "Whoever passes on a changed copy keeps these terms in place.", "Changes have to be marked as such.",
-    "Nothing is promised about fitness, and no author answers for damage.", "usr bin env python", "The software is provided as is, without warranty of any kind.", "Helper functions for the parser and its tests.", "Generated file, do not edit.",
+    "SEE LICENSE IN LICENSE", "copyright the contributors", "all rights are reserved by their owners", "redistributions in binary form must reproduce the above notice", "permission is hereby granted, free of charge, to any person obtaining a copy",
+    "the names of its contributors must not be used to endorse products", "this software is provided by the holders as is and any implied warranties are disclaimed", "in no event shall the holders be liable for damages",
+    "modified files must carry prominent notices", "you must retain the above notice and this list of conditions", "no warranty is given", "/usr/bin/env node", "utility code for the build", "generated by a tool, changes will be lost", "returns the first match or nothing", "one entry for each key",
+    "anybody who gets a copy can use, modify and share it", "who shares a modified copy has to keep these conditions", "modifications must be marked", "the copyright notice must remain in each copy", "the authors are not liable and promise no fitness for any use",
 )
-_ENDINGS = (
-    "Terms", "Agreement", "License", "Source Terms", "Community Agreement", "Shared Code Terms", "House License", "Evaluation Terms", "Software License", "Commercial License",
-    "Proprietary License", "Internal Use Agreement", "Public License", "Open License 1.0", "Code Terms", "License 2.0", "Partner Terms",
+# conditions as license texts state them, by subject, duty and object
+_CONDITIONS = (
+    (("the above notice", "this notice", "that list of conditions", "the copyright line", "every notice", "the notice"), ("shall remain in", "must stay in", "shall be included in", "has to be reproduced in", "must appear with", "stays with"), ("all copies", "each copy", "every substantial portion", "binary forms", "copies of the work", "any copy")),
+    (("anyone", "whoever", "each person", "every recipient", "any person"), ("obtaining a copy can", "that gets a copy may", "who holds a copy is free to", "sharing a changed copy must", "distributing a changed copy has to", "who hands on copies must"), ("use it, modify it and share it", "keep the conditions as they are", "copy, merge and publish it", "retain the same conditions", "use and change it", "hand it to others")),
+    (("alterations", "modifications", "altered files", "changed versions"), ("must be", "shall be", "need to be", "have to be"), ("marked", "stated clearly", "plainly marked as changed", "documented", "labelled as such")),
+    (("the names of contributors", "names of the holders", "the author's name", "no names of authors"), ("must not be used to", "may never be used to", "cannot be used to", "shall not serve to"), ("endorse products", "promote derived works", "advertise other products", "recommend further work")),
+    (("no holder", "no contributor", "none of the authors", "nobody"), ("is liable for", "is answerable for", "takes responsibility for", "answers for", "pays for"), ("damages", "any claim", "losses", "harm of any kind", "damage")),
+    (("nothing is", "no fitness is", "no quality is", "no merchantability is"), ("promised", "warranted", "guaranteed", "assured"), ("by the authors", "about fitness for a purpose, nor does a holder pay for damage", "in any way, and nobody is liable", "about its quality")),
 )
+_OWNERS = ("", "shared ", "community ", "corporate ", "enterprise ", "source ", "private ", "evaluation ", "internal ", "commercial ", "proprietary ", "partner ", "public ", "open ", "software ", "house ", "code ", "use ")
+_KINDS = ("license", "terms", "agreement", "contract", "conditions", "license 1.0", "license 2.0", "terms v3")
 
 
 def _invented(rng: random.Random) -> str:
-    """A name that no list has."""
+    """A name that no list has: made-up words and a kind of terms."""
     word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))).capitalize()
-    return " ".join([*(word() for _ in range(rng.randint(1, 3))), rng.choice(_ENDINGS)])
+    return " ".join([*(word() for _ in range(rng.randint(1, 3))), (rng.choice(_OWNERS) + rng.choice(_KINDS)).title()])
+
+
+def stating_forms(rng: random.Random, many: int) -> list[str]:
+    """Forms of sentences that put something under the terms ``{n}``."""
+    out = []
+    while len(out) < many:
+        via, tail, thing = rng.choice(_VIA), rng.choice(_TAILS), rng.choice(_THINGS)
+        kind = rng.random()
+        form = f"{thing} {rng.choice(_GRANTS)} {via}{tail}" if kind < 0.45 else f"{via} {rng.choice(_RULES)} {thing}{tail}" if kind < 0.65 else rng.choice(_OTHER_GRANTS).format(v=via, t=tail, x=thing)
+        out.append(form[:1].upper() + form[1:] if rng.random() < 0.8 else form)
+    return out
+
+
+def silent_forms(rng: random.Random, many: int) -> list[str]:
+    """Forms of sentences that mention ``{n}`` and put nothing under its terms."""
+    out = []
+    while len(out) < many:
+        via, thing = rng.choice(_VIA), rng.choice(_THINGS)
+        form = f"{rng.choice(_READERS)} {rng.choice(_LOOKS).format(v=via)}" if rng.random() < 0.45 else rng.choice(_LOOKS).format(v=via) if rng.random() < 0.4 else rng.choice(_DENIALS).format(v=via, t=rng.choice(_TAILS[:2]), x=thing, p=rng.choice(_PUT))
+        out.append(form[:1].upper() + form[1:] + rng.choice(("", ".")))
+    return out
+
+
+def pointers() -> list[str]:
+    """Sentences that only say where the terms are."""
+    told = [f"{s} {v}" for s in ("licensing terms", "the licensing conditions", "licensing information", "the license", "the copying terms", "the terms of use") for v in ("live in", "stand in", "are found in", "are in", "can be read in", "is in")]
+    return [f"{p} {f}{e}" for p in [*_POINTS, *told] for f in _PLACES for e in ("", ".")]
+
+
+def conditions() -> list[str]:
+    """Sentences of license texts that state conditions and name no license."""
+    return [f"{' '.join(parts)}." for group in _CONDITIONS for parts in itertools.product(*group)]
 
 
 def _filler(rng: random.Random) -> str:
@@ -136,15 +188,15 @@ class LicenseReader:
             return " ".join([*[_filler(rng)] * before, sentence, *[_filler(rng)] * after])
 
         for spdx, names in [*variants.items(), (UNLISTED, invented)]:
-            listed_name = spdx != UNLISTED
             # licenses of few names get more sentences for each
-            many = min(len(STATES) - 1, max(per_name, 160 // len(names)))
-            for i, name in enumerate(names):
-                forms = [*[STATES[0]] * (1 + many // per_name), *(rng.sample(STATES[1:], many) if listed_name else [STATES[i % len(STATES)]])]
-                which += [(within(form.format(n=name)), spdx) for form in forms]
-                stance += [(within(form.format(n=name)), "states") for form in forms]
-                stance += [(within(form.format(n=name)), "silent") for form in (SILENT if listed_name else [SILENT[i % len(SILENT)]])]
-        stance += [(within(form.format(n="").strip(" .")), "silent") for form in SILENT] + [(within(text), "silent") for text in PLAIN for _ in range(12)]
+            many = max(per_name, 160 // len(names)) if spdx != UNLISTED else 3
+            for name in names:
+                said = [*rng.choices(TAGS, k=2 if spdx == UNLISTED else 3), *stating_forms(rng, many)]
+                which += [(within(form.format(n=name)), spdx) for form in said]
+                stance += [(within(form.format(n=name)), "states") for form in said]
+                stance += [(within(form.format(n=name)), "silent") for form in silent_forms(rng, many if spdx != UNLISTED else 2)]
+        stance += [(within(form.format(n="").strip(" .")), "silent") for form in silent_forms(rng, 40)]
+        stance += [(within(text), "silent") for text in [*PLAIN * 4, *pointers(), *conditions()]]
         stance += [(_filler(rng), "silent") for _ in range(400)]
         self.stance = NgramClassifier(words).fit(*zip(*stance, strict=True))
         self.which = NgramClassifier(words).fit(*zip(*which, strict=True))
@@ -338,7 +390,13 @@ def file_statements(reader: LicenseReader, kind: str, name: str, text: str | Non
 def train_reader(license_list: DataFrame) -> LicenseReader:
     """A reader for the licenses of a list of fixed size (read by the driver)."""
     rows = license_list.select("spdx", "title", "former_id").filter(F.col("spdx").isNotNull()).distinct().collect()
-    return LicenseReader([(r.spdx, r.title or r.spdx, r.former_id) for r in rows])
+    return _trained(tuple(sorted((r.spdx, r.title or r.spdx, r.former_id or "") for r in rows)))
+
+
+@functools.lru_cache(maxsize=4)
+def _trained(listed: tuple[tuple[str, str, str], ...]) -> LicenseReader:
+    """One training per list, however many queries ask for it."""
+    return LicenseReader([(spdx, title, former or None) for spdx, title, former in listed])
 
 
 def _kind(path: Column, name: Column) -> Column:
