@@ -91,7 +91,7 @@ _GRANTS = (
     "is placed under", "is open source under", "is governed by", "is subject to", "is available under", "is distributed under", "is released to the public under", "must only be used under", "falls under",
 )
 _VIA = ("the {n}", "the rules of the {n}", "the conditions of the {n}", "the {n} license", "{n}")
-_TAILS = ("", ".", ", without warranty of any kind.", "; a copy ships with the sources.", ", provided this header is retained.", ". You may obtain a copy from its publisher.", ", at no charge.")
+_TAILS = ("", ".", ", without warranty of any kind.", "; a copy ships with the sources.", ", provided this header is retained.", "; get a copy from its publisher.", ", at no charge.")
 _OTHER_GRANTS = (
     "you can redistribute it and/or modify it under {v}{t}", "permission to copy, modify and distribute is granted under {v}{t}", "you may not use it except in compliance with {v}{t}", "we license {x} to you under {v}{t}", "the contributors offer {x} under {v}{t}", "terms: {v}{t}", "licensing terms for {x}: {v}{t}", "usage of {x} is permitted under {v}{t}", "copying is allowed if {v} is obeyed{t}",
     "use of {x} is governed by {v}{t}", "copying of {x} is governed by {v}{t}", "use and copying of {x} are bound by {v}{t}", "we put {x} under {v}{t}", "the owners have put {x} under {v}{t}", "the writers put {x} under {v}{t}", "copies may be passed on under {v}{t}", "changed versions may be shared when {v} is obeyed{t}",
@@ -112,7 +112,7 @@ _PLACES = ("the LICENSE file", "LICENSE", "COPYING", "the file LICENSE in the ro
 PLAIN = (
     "SEE LICENSE IN LICENSE", "copyright the contributors", "all rights are reserved by their owners", "redistributions in binary form must reproduce the above notice", "permission is hereby granted, free of charge, to any person obtaining a copy",
     "the names of its contributors must not be used to endorse products", "this software is provided by the holders as is and any implied warranties are disclaimed", "in no event shall the holders be liable for damages",
-    "modified files must carry prominent notices", "you must retain the above notice and this list of conditions", "no warranty is given", "/usr/bin/env node", "utility code for the build", "generated by a tool, changes will be lost", "returns the first match or nothing", "one entry for each key",
+    "you may obtain a copy from its publisher", "you can get a copy at the address below", "a copy should have come with this program", "modified files must carry prominent notices", "you must retain the above notice and this list of conditions", "no warranty is given", "/usr/bin/env node", "utility code for the build", "generated by a tool, changes will be lost", "returns the first match or nothing", "one entry for each key",
     "anybody who gets a copy can use, modify and share it", "who shares a modified copy has to keep these conditions", "modifications must be marked", "the copyright notice must remain in each copy", "the authors are not liable and promise no fitness for any use",
 )
 # conditions as license texts state them, by subject, duty and object
