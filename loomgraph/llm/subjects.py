@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-
-#: Terms are hashed into so many places, so the model's size doesn't grow with the corpus.
-PLACES = 1 << 22
-#: Terms seen less often in the whole corpus carry no weight in the model.
+from ..session import cut, release
+
+#: Terms are hashed into so many places, so the model's size doesn't grow with the corpus: at most
+#: 2^19 rows of 40 topics in single precision, 84 MB, on the driver (four such arrays at a time), in
+#: the broadcast of a round and in the sums of a task.
+PLACES = 1 << 19
+#: A phrase seen less often in the whole corpus is taken for one with a slip of the pen: it counts as
+#: the oftener phrases in it. If there are none it stands for itself, so no phrase is dropped.
 LEAST_SEEN = 3
 #: Words of the longest phrase.
 LONGEST = 4
@@ -60,7 +63,7 @@ _MARKS = re.compile(r"^(?:/\*+|\*+/|\*+(?=\s|$)|//+|#+(?=\s)|>+|[-•](?=\s)|\d+
 
 
 def _is_code(line: str) -> bool:
-    return len(line) < 2000 and not line.endswith((".", "!", "?", "。")) and bool(_CODE.search(line))
+    return not line.endswith((".", "!", "?", "。")) and bool(_CODE.search(line))
 
 
 def paragraphs(text: str) -> Iterator[str]:
@@ -137,13 +140,8 @@ def place(term: str) -> int:
     return zlib.crc32(term.encode("utf-8")) % PLACES
 
 
-def terms(sentence: str, common: frozenset[str], known: np.ndarray | None = None) -> list[str] | None:
-    """The phrases of a sentence; None if it has no words at all.
-
-    A phrase is a run of up to LONGEST words that aren't common, with nothing but blanks or hyphens
-    between; the words of a longer run stand for themselves. With ``known`` (by place) a run that
-    isn't a known phrase, as a slip of the pen makes them, gives the longest known phrases in it.
-    """
+def runs(sentence: str, common: frozenset[str]) -> list[str] | None:
+    """The runs of words of a sentence that aren't common, with nothing but blanks or hyphens between; None if it has no words at all."""
     found = sentence_words(sentence)
     if not found:
         return None
@@ -151,17 +149,32 @@ def terms(sentence: str, common: frozenset[str], known: np.ndarray | None = None
     run: list[str] = []
     for word, joined in [*found, ("", False)]:
         if run and (not joined or word in common):
-            phrase = " ".join(run)
-            if known is not None and not (len(run) <= LONGEST and known[place(phrase)]):
-                out += _known_within(run, known)
-            else:
-                out += [phrase] if len(run) <= LONGEST else run
+            out.append(" ".join(run))
             run = []
         if word and word not in common:
             run.append(word)
     return out
 
 
+def phrases(run: str, known: np.ndarray | None = None) -> list[str]:
+    """The phrases of a run: itself if it has up to LONGEST words, else its words.
+
+    With ``known`` (by place) a run that isn't a known phrase, as a slip of the pen makes them, gives
+    the longest known phrases in it; without any it is as if nothing were known.
+    """
+    words = run.split(" ")
+    whole = [run] if len(words) <= LONGEST else words
+    if known is None or (len(words) <= LONGEST and known[place(run)]):
+        return whole
+    return _known_within(words, known) or whole
+
+
+def terms(sentence: str, common: frozenset[str], known: np.ndarray | None = None) -> list[str] | None:
+    """The phrases of a sentence; None if it has no words at all."""
+    found = runs(sentence, common)
+    return None if found is None else [p for r in found for p in phrases(r, known)]
+
+
 def _known_within(run: list[str], known: np.ndarray) -> list[str]:
     at, out = 0, []
     while at < len(run):
@@ -190,14 +203,14 @@ def _json_texts(text: str) -> str:
     return "\n\n".join(out)
 
 
-def split_passages(text: str | None, common: frozenset[str], known: np.ndarray | None = None) -> Iterator[list[list[str]]]:
-    """The terms of each sentence of each paragraph that has words."""
+def split_passages(text: str | None, common: frozenset[str]) -> Iterator[list[list[str]]]:
+    """The runs of each sentence of each paragraph that has words."""
     if not text or not text.strip():
         return
     if text.lstrip()[:1] == "{":
         text = _json_texts(text)
     for paragraph in paragraphs(text.replace("\r\n", "\n").replace("\r", "\n")):
-        sentences = [t for s in _SENTENCE.split(_without_addresses(paragraph)) if (t := terms(s, common, known)) is not None]
+        sentences = [t for s in _SENTENCE.split(_without_addresses(paragraph)) if (t := runs(s, common)) is not None]
         if sentences:
             yield sentences
 
@@ -222,57 +235,81 @@ class Seeds:
         for text, subject in examples:
             for sentences in split_passages(text, common):
                 for found in sentences:
-                    counts[subject].update(found)
+                    counts[subject].update(p for r in found for p in phrases(r))
         return Seeds(sorted(counts), common, dict(counts))
 
 
-def known_phrases(documents: DataFrame, text: str, seeds: Seeds) -> np.ndarray:
-    """The row in the model of each place, or -1.
-
-    Places have a row if they hold a phrase that all documents together have at least LEAST_SEEN
-    times, or one of a labelled passage. So what is sent to the workers has the size of the known
-    phrases, at most PLACES.
-    """
+def run_table(documents: DataFrame, key: str, text: str, seeds: Seeds) -> DataFrame:
+    """``key, runs``: a row per paragraph, its sentences as arrays of runs of words. The one pass over the texts."""
+    kind = documents.schema[key].dataType.simpleString()
     common = seeds.common
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
         for b in batches:
-            for value in b.column(0):
+            at, found = [], []
+            for i, value in enumerate(b.column(1)):
                 for sentences in split_passages(value.as_py(), common):
-                    for found in sentences:
-                        total.update(found)
-        places: Counter = Counter()
-        for term, n in total.items():
-            places[place(term)] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int32()), pa.array(list(places.values()), pa.int64())], ["place", "n"])
-
-    counted = documents.select(text).mapInArrow(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    often = counted.filter(F.col("n") >= LEAST_SEEN).select("place").toArrow().column("place").to_numpy()
-    places = np.union1d(often, [place(t) for c in seeds.counts.values() for t in c]).astype(int)
+                    at.append(i)
+                    found.append(sentences)
+                    if len(at) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.list_(pa.list_(pa.string())))], ["key", "runs"])
+                        at, found = [], []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.list_(pa.list_(pa.string())))], ["key", "runs"])
+
+    return documents.select(key, text).mapInArrow(run, f"key {kind}, runs array<array<string>>")
+
+
+def known_phrases(table: DataFrame, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
+    """Which places hold a known phrase, and the row in the model of each place (-1 if it is empty).
+
+    Known are phrases that all documents together have at least LEAST_SEEN times, and those of
+    labelled passages. A place has a row if a run, a word of it or a labelled phrase falls there.
+    Counted on the cluster; at most PLACES numbers come to the driver.
+    """
+    at = lambda c: F.pmod(F.crc32(c), F.lit(PLACES)).cast("int")
+    words = F.split("run", " ")
+    # a short run counts as itself; words too get a row, as they may stand for an unknown run, but count only in long runs
+    long = F.size(words) > LONGEST
+    shown = F.concat(F.when(long, F.array().cast("array<struct<place:int,n:int>>")).otherwise(F.array(F.struct(at("run").alias("place"), F.lit(1).alias("n")))), F.when(long, F.transform(words, lambda w: F.struct(at(w).alias("place"), F.lit(1).alias("n")))).otherwise(F.array().cast("array<struct<place:int,n:int>>")))
+    counted = table.select(F.explode(F.flatten("runs")).alias("run")).select(F.explode(shown).alias("x")).groupBy("x.place").agg(F.sum("x.n").alias("n")).toArrow()
+    places, n = counted.column("place").to_numpy(), counted.column("n").to_numpy()
+    labelled = np.array([place(t) for c in seeds.counts.values() for t in c], int)
+    known = np.zeros(PLACES, bool)
+    known[places[n >= LEAST_SEEN]] = True
+    known[labelled] = True
     rows = np.full(PLACES, -1, np.int32)
-    rows[places] = np.arange(len(places))
-    return rows
+    used = np.union1d(places, labelled).astype(int)
+    rows[used] = np.arange(len(used))
+    return known, rows
 
 
-def passage_table(documents: DataFrame, key: str, text: str, seeds: Seeds, rows: np.ndarray) -> DataFrame:
+def passage_table(table: DataFrame, known: np.ndarray, rows: np.ndarray) -> DataFrame:
     """``key, sentences``: a row per paragraph, its sentences as arrays of the rows of their phrases."""
-    kind = documents.schema[key].dataType.simpleString()
-    common = seeds.common
-    sent = documents.sparkSession.sparkContext.broadcast(rows)
+    kind = table.schema["key"].dataType.simpleString()
+    sent = table.sparkSession.sparkContext.broadcast((np.packbits(known), rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sent.value
-        known = rows >= 0
+        packed, rows = sent.value
+        known = np.unpackbits(packed, count=PLACES).astype(bool)
+        held: dict[str, list[int]] = {}
         for b in batches:
-            at, found = [], []
-            for i, value in enumerate(b.column(1)):
-                for sentences in split_passages(value.as_py(), common, known):
-                    at.append(i)
-                    found.append([[int(rows[place(t)]) for t in s] for s in sentences])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["key", "sentences"])
-
-    return documents.select(key, text).mapInArrow(run, f"key {kind}, sentences array<array<int>>")
+            outer, inner = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            ends, flat = inner.offsets.to_numpy(), inner.flatten().to_pylist()
+            if len(held) > 500_000:
+                held.clear()
+            found = []
+            for r in flat:
+                got = held.get(r)
+                if got is None:
+                    got = held[r] = [int(rows[p]) for t in phrases(r, known) if rows[p := place(t)] >= 0]
+                found.append(got)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            before = np.r_[0, np.cumsum(sizes)]
+            ids = pa.array(np.fromiter((i for f in found for i in f), np.int32, int(before[-1])))
+            sentences = pa.ListArray.from_arrays(pa.array(before[ends - ends[0]].astype(np.int32)), ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array((outer - outer[0]).astype(np.int32)), sentences)], ["key", "sentences"])
+
+    return table.select("key", "runs").mapInArrow(run, f"key {kind}, sentences array<array<int>>")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,9 +361,9 @@ def _totals(table: DataFrame, height: int, width: int, per_batch) -> np.ndarray:
         used = np.flatnonzero(total.any(1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, i].astype(np.float64)) for i in range(width))], ["at", *names])
 
-    sums = table.select("sentences").mapInArrow(run, "at int, " + ", ".join(f"{n} double" for n in names)).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
+    sums = table.select("sentences").mapInArrow(run, "at int, " + ", ".join(f"{n} double" for n in names)).groupBy("at").agg(*[F.sum(n).cast("float").alias(n) for n in names])
     got = sums.toArrow()
-    out = np.zeros((height, width), np.float64)
+    out = np.zeros((height, width), np.float32)
     if got.num_rows:
         out[got.column("at").to_numpy()] = np.stack([got.column(n).to_numpy() for n in names], axis=1)
     return out
@@ -356,18 +393,18 @@ def fit(passages: DataFrame, seeds: Seeds, rows: np.ndarray, rounds: int = ROUND
     size = int(rows.max()) + 1
     seen = _totals(passages, size, 1, count)[:, 0]
     rng = np.random.default_rng(seed)
-    sown = np.zeros((size, topics))
+    sown = np.zeros((size, topics), np.float32)
     for k, subject in enumerate(seeds.subjects):
         for term, n in seeds.counts[subject].items():
             sown[rows[place(term)], k] += n
-    base = (seen + 0.1) / (seen + 0.1).sum()
+    base = ((seen + 0.1) / (seen + 0.1).sum(dtype=np.float64)).astype(np.float32)
     labelled = sown.sum(1, keepdims=True) > 0
     # free topics start from noisy word shares, the subjects' from even ones; a labelled phrase starts
     # high where it is labelled and low everywhere else, however frequent it is
-    start = np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (size, topics)))
+    start = np.where(sown.sum(0) > 0, SUBJECT_START, rng.gamma(100, 0.01, (size, topics)).astype(np.float32))
     start = np.where(labelled, SEED_HIGH * sown / np.maximum(sown.sum(1, keepdims=True), 1) + SEED_LOW, start)
     phi = base[:, None] * start
-    anchor = sown / np.maximum(sown.sum(0), 1) * SEED_WEIGHT * seen.sum() / topics
+    anchor = sown / np.maximum(sown.sum(0), 1) * np.float32(SEED_WEIGHT * seen.sum(dtype=np.float64) / topics)
     for _ in range(rounds):
         sent = context.broadcast(phi.astype(np.float32))
 
@@ -379,8 +416,10 @@ def fit(passages: DataFrame, seeds: Seeds, rows: np.ndarray, rounds: int = ROUND
             if len(ids):
                 total[ids[order][firsts]] += np.add.reduceat(share[order], firsts, axis=0)
 
-        weights = _totals(passages, size, topics, gather) + anchor + ETA
-        phi = weights / weights.sum(0)
+        phi = _totals(passages, size, topics, gather)
+        phi += anchor
+        phi += ETA
+        phi /= phi.sum(0, dtype=np.float64)
         sent.destroy()
     model = SubjectModel(seeds, rows, phi.astype(np.float32), [])
     model.subject_of = [subject for subject, _ in map_topics(model)]
@@ -507,8 +546,10 @@ def find_subjects(documents: DataFrame, examples: DataFrame, key: str = "doc_id"
     seeds = read_seeds(examples)
     if not seeds.subjects:
         return documents.select(F.col(key), F.lit(None).cast("string").alias("subject")).limit(0)
-    rows = known_phrases(documents, text, seeds)
-    passages = cut(passage_table(documents, key, text, seeds, rows))
+    read = cut(run_table(documents, key, text, seeds))
+    known, rows = known_phrases(read, seeds)
+    passages = cut(passage_table(read, known, rows))
+    release(read)
     return assign(passages, fit(passages, seeds, rows), key)
 
 
