@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import node_key
-from ..session import cut
+from .skew import split_lookup
 
 
 def lives_by_key(nodes: DataFrame, id_col: str = "id", born: str = "created_at", died: str = "deleted_at") -> DataFrame:
@@ -43,40 +43,16 @@ def _reason(first_born, lives, at):
     )
 
 
-def _suspects(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key, endpoint, period, n, settled, first_born, lives`` of the groups of references that may hold orphans.
-
-    References are first counted per key, endpoint and period, with the first and last time in it:
-    a key that holds a third of all rows is a row per month then. If no life of the key begins or
-    ends between these times, one look at the key settles the whole group, and groups of living
-    nodes drop out. ``settled`` is the reason of all references of a group, null if they differ.
-    """
-    grouped = refs.groupBy("key", "endpoint", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    looked = grouped.join(lives_by_key(nodes), "key", "left")
-    between = lambda t: F.coalesce((t > F.col("lo")) & (t <= F.col("hi")), F.lit(False))
-    quiet = F.coalesce(~F.exists("lives", lambda x: between(x["born"]) | between(x["died"])), F.lit(True)) | F.col("lo").isNull()
-    looked = looked.withColumn("quiet", quiet).withColumn("settled", F.when(F.col("quiet"), _reason(F.col("first_born"), F.col("lives"), F.col("lo"))))
-    return looked.filter(~F.col("quiet") | F.col("settled").isNotNull()).select("key", "endpoint", "period", "n", "settled", F.when(~F.col("quiet"), F.col("first_born")).alias("first_born"), F.when(~F.col("quiet"), F.col("lives")).alias("lives"))
-
-
-def _orphan_references(edges: DataFrame, nodes: DataFrame, hot_share: float, salts: int = 16) -> DataFrame:
+def _orphan_references(edges: DataFrame, nodes: DataFrame, hot_share: float) -> DataFrame:
     """``seq, endpoint, key, period, reason`` of each orphan reference, without repeats.
 
-    Only references of suspect groups meet anything in the second pass. Groups of at least
-    ``hot_share`` of all references, at most ``1 / hot_share`` of them, are marked by a broadcast and
-    spread over ``salts`` tasks; the other groups take the shuffle as they are.
+    A few targets hold most references: their lives are broadcast (at most about ``1 / hot_share``
+    nodes) and their references judged where they are; the others are met by an ordinary shuffle,
+    and both parts are put together. Only orphans, a small part of all, are made distinct.
     """
-    refs = references(edges).withColumn("period", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")))
-    suspects = cut(_suspects(refs, nodes))
-    total = edges.count()
-    heavy = suspects.filter(F.col("n") >= max(1, hot_share * total)).select("key", "endpoint", "period", F.lit(salts).alias("salts"))
-    group = ["key", "endpoint", "period"]
-    salted = lambda df, salt: df.join(F.broadcast(heavy), group, "left").withColumn("salt", salt).drop("salts")
-    spread = salted(refs, F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int")).otherwise(0))
-    many = salted(suspects, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    met = spread.join(many.drop("n"), [*group, "salt"])
-    reason = F.coalesce("settled", F.when(F.col("lives").isNotNull() | F.col("first_born").isNotNull(), _reason(F.col("first_born"), F.col("lives"), F.col("at"))))
-    found = met.select("seq", "endpoint", "key", F.when(F.col("period") != "", F.col("period")).alias("period"), reason.alias("reason"))
+    judged = split_lookup(references(edges), lives_by_key(nodes), "key", hot_share)
+    reason = _reason(F.col("first_born"), F.col("lives"), F.col("at"))
+    found = judged.select("seq", "endpoint", "key", F.date_format("at", "yyyy-MM").alias("period"), reason.alias("reason"))
     return found.filter(F.col("reason").isNotNull()).distinct()
 
 
@@ -88,9 +64,6 @@ def find_orphans(edges: DataFrame, nodes: DataFrame, hot_share: float = 0.01) ->
     are the same (see :func:`~loomgraph.functions.ids.node_key`); a blank id is an id of its own,
     null endpoints are no references. Without ``observed_at`` only ``missing`` can be told, with a
     null period. Redelivered edges give one row.
-
-    References are pre-aggregated per key and period and met with the lives of the keys; only those
-    of groups that may hold orphans are looked at one by one (see :func:`_orphan_references`).
     """
     return _orphan_references(edges, nodes, hot_share).select("seq", "endpoint", "reason", "period").distinct()
 
@@ -98,8 +71,9 @@ def find_orphans(edges: DataFrame, nodes: DataFrame, hot_share: float = 0.01) ->
 def orphan_counts(edges: DataFrame, nodes: DataFrame, table: str = "edges", hot_share: float = 0.01) -> DataFrame:
     """``table_name, endpoint, period, reason, refs, orphan_keys`` per table, month and reason.
 
-    Counted over the orphan references, distinct by ``seq`` and endpoint; all others have dropped
-    out before anything is made distinct.
+    The orphan references (distinct by ``seq`` and endpoint) are added up per key and period, then
+    over the keys, so a key that holds a third of all rows is a few rows by then; all other
+    references have dropped out before anything is made distinct.
     """
     found = _orphan_references(edges, nodes, hot_share).groupBy("endpoint", "period", "reason", "key").agg(F.count(F.lit(1)).alias("n"))
     counted = found.groupBy("endpoint", "period", "reason").agg(F.sum("n").alias("refs"), F.count(F.lit(1)).alias("orphan_keys"))
