@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, release, together
+from . import hierarchy
 
-#: Edges of a cyclic core that a single task may take; larger cores are coloured on the cluster.
+#: Edges of a cyclic core (counted, after trimming) that a task may solve in memory, some tens of MB; larger
+#: cores are coloured on the cluster, with the same result. A bound on memory as of a broadcast: nothing is left out.
 LOCAL_CORE = 500_000
 #: What is seen is kept as the frontiers of so many rounds, then put together.
 PARTS = 24
@@ -80,57 +82,34 @@ def closure(edges: DataFrame) -> DataFrame:
     return together(*seen)
 
 
-def kahn(edges: list[tuple[str, str]]) -> dict[str, int]:
-    """The level of each node with an edge that is neither on nor behind a cycle, of a graph in memory."""
-    out: dict[str, list[str]] = defaultdict(list)
-    waits: dict[str, int] = defaultdict(int)
-    for a, b in edges:
-        out[a].append(b)
-        waits[b] += 1
-    placed: dict[str, int] = {}
-    ready, level = [a for a in out if not waits.get(a)], 0
-    while ready:
-        onward = []
-        for a in ready:
-            placed[a] = level
-            for b in out.get(a, ()):
-                waits[b] -= 1
-                if not waits[b]:
-                    onward.append(b)
-        ready, level = onward, level + 1
-    return placed
-
-
-def levels(edges: DataFrame, nodes: DataFrame, local: int = LOCAL_CORE) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, level``: the length of the longest path to each node of an acyclic graph.
 
-    Nodes on or behind a cycle have level null. A round takes the nodes whose predecessors all have
-    a level (Kahn), so there are as many rounds as levels; at most ``local`` edges (counted) go to one task.
+    Nodes on or behind a cycle have level null. Nodes with one predecessor hang below the next node
+    above them that has none or several, at a distance that pointer doubling finds; so trees and
+    long chains take a logarithmic number of rounds. Only the nodes where links meet take a round
+    per level: a round places those whose predecessors all are placed (Kahn).
     """
     pairs = cut(edges.select("src", "dst").distinct())
-    if pairs.count() <= local:
-
-        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame(list(kahn([tuple(r) for b in batches for r in b.itertuples(index=False)]).items()), columns=["id", "level"])
-
-        placed_ = pairs.coalesce(1).mapInPandas(solve, "id string, level int")
-        behind = pairs.select(F.col("dst").alias("id")).distinct().withColumn("behind", F.lit(True))
-        out = nodes.select("id").distinct().join(placed_, "id", "left").join(behind, "id", "left")
-        return out.select("id", F.when(F.col("level").isNull() & F.col("behind").isNull(), 0).otherwise(F.col("level")).alias("level"))
-    left = cut(nodes.select("id").distinct())
-    placed, level = [], 0
+    above = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("src"))
+    one = above.filter("n = 1").select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+    every = nodes.select(F.col("id").alias("node")).unionByName(pairs.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    hung = cut(hierarchy.resolve_hierarchy(every.join(one, "node", "left")).select(F.col("node_id").alias("id"), F.col("root_id").alias("top"), F.col("depth").alias("down")))
+    # links into nodes where links meet, from the tops that their ends hang below; those of cycles never end
+    meets = above.filter("n > 1").select("dst")
+    met = pairs.join(meets, "dst", "left_semi").join(hung.withColumnRenamed("id", "src"), "src").select(F.when(F.col("down") >= 0, F.col("top")).alias("src"), "dst", (F.col("down") + 1).alias("step"))
+    waits = cut(met.groupBy("src", "dst").agg(F.max("step").alias("step")))
+    placed = [cut(hung.filter("down = 0").select("id").join(meets.withColumnRenamed("dst", "id"), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("level")))]
     while True:
-        open_ = pairs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        ready = cut(left.join(open_, "id", "left_anti"))
-        if ready.isEmpty():
+        known = _one(placed).withColumnRenamed("id", "src")
+        arrived = waits.join(known, "src", "left").groupBy("dst").agg(F.max(F.col("level") + F.col("step")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+        fresh = cut(arrived.filter("all").select(F.col("dst").alias("id"), "level").join(known.withColumnRenamed("src", "id"), "id", "left_anti"))
+        if fresh.isEmpty():
             break
-        placed.append(ready.select("id", F.lit(level).alias("level")))
-        left = cut(left.join(ready, "id", "left_anti"))
-        level += 1
-    out = left.select("id", F.lit(None).cast("int").alias("level"))
-    for part in placed:
-        out = out.unionByName(part)
-    return out
+        placed.append(fresh)
+    tops = together(*placed).select(F.col("id").alias("top"), F.col("level").alias("at"))
+    of = hung.join(tops, "top", "left").select("id", F.when(F.col("down") >= 0, F.col("at") + F.col("down")).cast("int").alias("level"))
+    return nodes.select("id").distinct().join(of, "id", "left")
 
 
 def _core(pairs: DataFrame, trims: int) -> DataFrame:
@@ -229,24 +208,25 @@ def strong_components(edges: DataFrame, trims: int = 12, local: int = LOCAL_CORE
 def _colour(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One colouring round: the components found, and the edges between nodes that aren't in them."""
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    colour = cut(nodes.select("id", F.col("id").alias("c")))
-    while True:
-        spread = pairs.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
-        new = cut(colour.unionByName(spread).groupBy("id").agg(F.min("c").alias("c")))
-        if new.join(colour, ["id", "c"], "left_anti").isEmpty():
-            break
+    colour = cut(nodes.select("id", F.col("id").alias("c"), F.lit(True).alias("fell")))
+    while not colour.filter("fell").isEmpty():
+        # only colours that fell in the last round can make others fall
+        spread = pairs.join(colour.filter("fell").select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("n"))
+        new = cut(colour.join(spread, "id", "left").select("id", F.least("c", "n").alias("c"), F.coalesce(F.col("n") < F.col("c"), F.lit(False)).alias("fell")))
+        release(colour)
         colour = new
-    back = pairs.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd")
-    in_ = cut(colour.filter("id = c"))
-    frontier = in_
+    back = cut(pairs.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+    frontier = cut(colour.filter("id = c").select("id", "c"))
+    inside = [frontier]
     while not frontier.isEmpty():
-        up = back.select(F.col("src").alias("id"), F.col("cs").alias("c"), "dst").join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select("id", "c").distinct()
-        frontier = cut(up.join(in_, "id", "left_anti"))
-        in_ = cut(in_.unionByName(frontier))
-    members = in_.join(in_.groupBy("c").count().filter("count > 1"), "c").select("id", F.col("c").alias("component"))
-    done = in_.select("id")
+        up = back.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "c").distinct()
+        frontier = cut(up.join(_one(inside), "id", "left_anti"))
+        inside.append(frontier)
+    all_in = together(*inside)
+    members = cut(all_in.join(all_in.groupBy("c").count().filter("count > 1"), "c").select("id", F.col("c").alias("component")))
+    done = all_in.select("id")
     rest = cut(pairs.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    return cut(members), rest
+    return members, rest
 
 
 def cluster_ids(components: DataFrame) -> DataFrame:

@@ -259,11 +259,13 @@ def test_assets_lead_to_artifacts_at_any_distance(spark, tmp_path):
     assert got == {("a0", "far"), ("h", "near")}
 
 
-@pytest.mark.parametrize("local", [reach.LOCAL_CORE, 0])
-def test_levels_in_a_task_and_on_the_cluster(spark, local):
+def test_levels_over_chains_joins_and_cycles(spark):
+    chain = [(f"k{i}", f"k{i + 1}") for i in range(40)] + [("a", "k0"), ("k10", "k30"), ("k40", "c"), ("k40", "z2"), ("c", "z2")]
+    got = {r.id: r.level for r in reach.levels(pairs(spark, *chain), spark.createDataFrame([("a",), ("c",), ("k40",), ("z2",), ("k30",)], "id string")).collect()}
+    assert got == {"a": 0, "k30": 31, "k40": 41, "c": 42, "z2": 43}
     e = pairs(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("p", "q"), ("q", "p"), ("q", "r"))
     nodes = spark.createDataFrame([(x,) for x in "abcpqrz"], "id string")
-    assert {r.id: r.level for r in reach.levels(e, nodes, local).collect()} == {"a": 0, "b": 1, "c": 2, "p": None, "q": None, "r": None, "z": 0}
+    assert {r.id: r.level for r in reach.levels(e, nodes).collect()} == {"a": 0, "b": 1, "c": 2, "p": None, "q": None, "r": None, "z": 0}
 
 
 def test_packages_have_whole_cycles_with_sources_levels_and_paths(spark, tmp_path):
