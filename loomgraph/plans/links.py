@@ -169,7 +169,7 @@ def license_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT DISTINCT spdx AS raw, array_to_string(list_transform(regexp_extract_all(spdx, '[A-Za-z0-9.\-+]+|\(|\)'), lambda w: CASE WHEN upper(w) IN ('AND', 'OR', 'WITH') THEN upper(w) ELSE w END), ' ') AS spdx FROM licenses WHERE spdx IS NOT NULL""",
+    r"""SELECT DISTINCT spdx AS raw, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(spdx, '([()])', ' \1 ', 'g'), '\s+'), lambda w: w <> ''), lambda w: CASE WHEN upper(w) IN ('AND', 'OR', 'WITH') THEN upper(w) ELSE w END), ' ') AS spdx FROM licenses WHERE spdx IS NOT NULL""",
     False,
 )
 def spdx_expressions(spark: SparkSession, d: str) -> DataFrame:
@@ -234,16 +234,34 @@ def _code(spark, d, ext):
 _C, _JS, _JAVA, _ETS = r"\.(c|cc|cpp|h)$", r"\.(js|ts)$", r"\.java$", r"\.ets$"
 
 
-@query(f"WITH {_CODE.replace('EXT', _C)} SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^\\s*#\\s*include\\s*[<\"]([^\">]+)[\">]', 1)) AS include FROM f", False)
-def include_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _code(spark, d, _C).select("file", F.explode(N.c_includes("content")).alias("include"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-_JSX = r"""flatten([regexp_extract_all(content, 'import\s+(?:[\w\s{},*]+\s+from\s+)?[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, 'require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1), regexp_extract_all(content, 'import\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1), regexp_extract_all(content, 'export\s+(?:[\w\s{},*]+\s+)?from\s+[''"]([^''"]+)[''"]', 1)])"""
+#: The rules of the scanner: tokens without comments, then what stands before a quoted text or after a word.
+_TS = f"ts AS (SELECT file, list_filter(regexp_extract_all(content, {_quoted(N.TOKENS)}), lambda t: NOT starts_with(t, '//') AND NOT starts_with(t, '/*')) AS t FROM f), tk AS (SELECT file, t, unnest(range(1, len(t) + 1)) AS i FROM ts)"
+_MODULES = (
+    _TS + ", i AS (SELECT DISTINCT file, substr(t[i], 2, length(t[i]) - 2) AS module FROM tk WHERE t[i][1] IN (chr(39), chr(34)) AND length(t[i]) > 2"
+    " AND ((i > 1 AND t[i - 1] IN ('from', 'import') AND (i < 3 OR t[i - 2] <> '.')) OR (i > 2 AND t[i - 1] = '(' AND t[i - 2] IN ('require', 'import') AND (i < 4 OR t[i - 3] <> '.'))))"
+)
+_STATED = (
+    _TS + ", st AS (SELECT file, i, t[i] AS w, t[i + 1:] AS r FROM tk WHERE t[i] IN ('import', 'package') AND (i = 1 OR t[i - 1] IN (';', '}'))),"
+    " sm AS (SELECT file, i, w, array_to_string(CASE WHEN r[1] = 'static' THEN r[2:list_position(r, ';') - 1] ELSE r[1:list_position(r, ';') - 1] END, '') AS name FROM st WHERE list_contains(r, ';'))"
+)
+_INCLUDED = (
+    f"list_transform(list_filter(regexp_extract_all(content, {_quoted(N.C_PIECES)}), lambda x: starts_with(x, '#')),"
+    """ lambda x: regexp_replace(regexp_replace(x, '^[^<"]*[<"]', ''), '[>"]$', ''))"""
+)
+_INC = f"i AS (SELECT DISTINCT file, include FROM (SELECT file, unnest({_INCLUDED}) AS include FROM f) WHERE include <> '')"
+
+
+@query(f"WITH {_CODE.replace('EXT', _C)}, {_INC} SELECT file, include FROM i", False)
+def include_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d, _C).select("file", F.explode(N.c_includes("content")).alias("include"))
 
 
 @query(
-    f"WITH {_CODE.replace('EXT', _JS)}, i AS (SELECT DISTINCT file, unnest({_JSX}) AS module FROM f) SELECT file, module, CASE WHEN starts_with(module, '.') OR starts_with(module, '/') THEN 'relative' WHEN string_split(regexp_replace(module, '^node:', ''), '/')[1] IN {str(N.RUNTIME_MODULES)} THEN 'builtin' ELSE 'package' END AS class,"
+    f"WITH {_CODE.replace('EXT', _JS)}, {_MODULES} SELECT file, module, CASE WHEN starts_with(module, '.') OR starts_with(module, '/') THEN 'relative' WHEN string_split(regexp_replace(module, '^node:', ''), '/')[1] IN {str(N.RUNTIME_MODULES)} THEN 'builtin' ELSE 'package' END AS class,"
     " CASE WHEN starts_with(module, '@') AND len(string_split(module, '/')) > 1 THEN string_split(module, '/')[1] || '/' || string_split(module, '/')[2] ELSE string_split(module, '/')[1] END AS package FROM i",
     False,
 )
@@ -252,18 +270,18 @@ def js_imports(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file", "module", N.import_class("module").alias("class"), N.package_of("module").alias("package"))
 
 
-@query(f"WITH {_CODE.replace('EXT', _JAVA)} SELECT DISTINCT file, nullif(regexp_extract(content, '(?m)^\\s*package\\s+([\\w.]+)\\s*;', 1), '') AS package, unnest(regexp_extract_all(content, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.*]+)\\s*;', 1)) AS imported FROM f", False)
+@query(f"WITH {_CODE.replace('EXT', _JAVA)}, {_STATED} SELECT DISTINCT file, (SELECT arg_min(name, i) FROM sm p WHERE p.file = sm.file AND p.w = 'package') AS package, name AS imported FROM sm WHERE w = 'import'", False)
 def java_imports(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d, _JAVA).select("file", N.java_package("content").alias("package"), F.explode(N.java_imports("content")).alias("imported"))
 
 
-@query(f"WITH {_CODE.replace('EXT', _ETS)}, i AS (SELECT DISTINCT file, unnest({_JSX}) AS module FROM f) SELECT file, module FROM i WHERE NOT starts_with(module, '@ohos')", False)
+@query(f"WITH {_CODE.replace('EXT', _ETS)}, {_MODULES} SELECT file, module FROM i WHERE NOT starts_with(module, '@ohos')", False)
 def ets_imports(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d, _ETS).select("file", F.explode(N.ets_imports("content")).alias("module"))
 
 
 @query(
-    f"""WITH {_CODE.replace('EXT', _C)}, i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^\\s*#\\s*include\\s*[<"]([^">]+)[">]', 1)) AS include FROM f), a AS (SELECT DISTINCT {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL),
+    f"""WITH {_CODE.replace('EXT', _C)}, {_INC}, a AS (SELECT DISTINCT {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL),
  t AS (SELECT file, include, 0 AS r, regexp_replace(file, '/[^/]*$', '') || '/' || include AS id FROM i UNION ALL SELECT file, include, 1, regexp_extract(file, '^(//[^/]+)/', 1) || '/include/' || include FROM i UNION ALL SELECT file, include, 2, regexp_extract(file, '^(//[^/]+)/', 1) || '/' || include FROM i)
  SELECT i.file, i.include, coalesce((SELECT arg_min(t.id, t.r) FROM t WHERE t.file = i.file AND t.include = i.include AND t.id IN (SELECT id FROM a)), '//include:' || i.include) AS target FROM i""",
     False,
@@ -414,7 +432,7 @@ def exported_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_CODE.replace('EXT', _JAVA)}, i AS (SELECT DISTINCT file, unnest(regexp_extract_all(content, '(?m)^\\s*import\\s+(?:static\\s+)?([\\w.*]+)\\s*;', 1)) AS imported FROM f), a AS (SELECT DISTINCT {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL),
+    f"""WITH {_CODE.replace('EXT', _JAVA)}, {_STATED}, i AS (SELECT DISTINCT file, name AS imported FROM sm WHERE w = 'import'), a AS (SELECT DISTINCT {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL),
  r AS (SELECT DISTINCT regexp_extract(id, '^(//[^/]+)/', 1) AS repo, regexp_extract(id, '^(//[^/]+)/', 1) || '/' || root AS root FROM a, (VALUES ('src'), ('lib')) v(root)),
  h AS (SELECT i.file, i.imported, min(a.id) AS hit FROM i JOIN r ON r.repo = regexp_extract(i.file, '^(//[^/]+)/', 1) JOIN a ON a.id = r.root || '/' || replace(i.imported, '.', '/') || '.java' GROUP BY ALL)
  SELECT i.file, i.imported, coalesce(hit, 'java_import:' || i.imported) AS target, CASE WHEN hit IS NULL THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence FROM i LEFT JOIN h USING (file, imported)""",

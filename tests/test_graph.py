@@ -281,3 +281,19 @@ def test_packages_have_whole_cycles_with_sources_levels_and_paths(spark, tmp_pat
     level = {r.id.split(":")[0]: r.level for r in run("package_levels")}
     assert level == {"p0": 0, "scc": 1, **{f"p{i}": 2 for i in range(1, 7)}, "q": 3, "alone": 0}
     assert [tuple(r) for r in run("package_path")] == [("p3,p4,p5,p6,q", 4)]
+
+
+def test_the_scanner_leaves_comments_and_texts_out(spark):
+    from loomgraph.functions import names as N
+
+    js = """// import 'no1'
+/* from 'no2' */ import a, {b as c} from "./a"; import './b'
+const s = "import 'no3'"; const t = `require('no4')`;
+export * from '../c'; const d = require( 'd' ); x.require('no5'); await import("e"); it's; from
+"""
+    java = "package a.b ;\n/* import no.One; */ import static a.b.C.*; import a.\n b.D;\nString s = \"import no.Two;\"; import x.Y;"
+    c = '#include <a.h>\n  # include "b.h"\n// #include <no1.h>\n/*\n#include <no2.h>\n*/\nchar *s = "#include <no3.h>";'
+    df = spark.createDataFrame([(js, java, c), (None, None, None), ("", "", "")], "js string, java string, c string")
+    rows = df.select(N.js_imports("js").alias("js"), N.java_imports("java").alias("java"), N.java_package("java").alias("p"), N.c_includes("c").alias("c"), N.native_libraries(F.lit('System.loadLibrary("x"); // System.loadLibrary("no");')).alias("n")).collect()
+    assert (rows[0].js, rows[0].java, rows[0].p, rows[0].c, rows[0].n) == (["./a", "./b", "../c", "d", "e"], ["a.b.C.*", "a.b.D", "x.Y"], "a.b", ["a.h", "b.h"], ["x"])
+    assert not rows[1].js and rows[2].js == [] and rows[2].p is None
