@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import depth, namespaced
@@ -51,16 +51,21 @@ def native_implementations(contracts: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.withColumn("kind", F.lit("implements_native"))
 
 
+def _placed(graph: str, path: Column) -> Column:
+    """A path within its graph, as one key."""
+    return F.concat_ws("\x00", graph, path)
+
+
 def module_members(nodes: DataFrame, modules: tuple[str, ...], files: tuple[str, ...], rooted: bool = False, hot_share: float = 0.01) -> DataFrame:
-    """``module, file``: every file in or below the directory of a module; with ``rooted`` also below one of its source roots.
+    """``module, file``: every file in or below the directory of a module of its graph; with ``rooted`` also below one of its source roots.
 
-    Files meet modules through the directories above them, by equality; a directory that holds very
+    The graph is part of the key, so equal paths of two checkouts don't mix; nodes without graph hold nothing. Files meet modules through the directories above them, by equality; a directory that holds very
     many files is treated apart.
     """
-    owners = nodes.filter(F.col("type").isin(*modules) & (F.col("src_path") != "")).select(slashes("src_path").alias("dir"), F.struct(F.col("id").alias("module"), F.coalesce("source_roots", F.array().cast("array<string>")).alias("roots")).alias("m"))
+    owners = nodes.filter(F.col("type").isin(*modules) & (F.col("src_path") != "")).filter("graph_id is not null").select(_placed("graph_id", slashes("src_path")).alias("dir"), F.struct(F.col("id").alias("module"), F.coalesce("source_roots", F.array().cast("array<string>")).alias("roots")).alias("m"))
     per_dir = owners.groupBy("dir").agg(F.collect_set("m").alias("ms"))
-    inside = nodes.filter(F.col("type").isin(*files) & F.col("src_path").isNotNull()).select(F.col("id").alias("file"), slashes("src_path").alias("p"))
-    above = inside.select("file", "p", F.explode(ancestors(F.col("p"))).alias("x")).select("file", "p", F.col("x.dir").alias("dir"))
+    inside = nodes.filter(F.col("type").isin(*files) & F.col("src_path").isNotNull() & F.col("graph_id").isNotNull()).select(F.col("id").alias("file"), "graph_id", slashes("src_path").alias("p"))
+    above = inside.select("file", "graph_id", "p", F.explode(ancestors(F.col("p"))).alias("x")).select("file", _placed("graph_id", F.col("p")).alias("p"), _placed("graph_id", F.col("x.dir")).alias("dir"))
     met = split_lookup(above, per_dir, "dir", hot_share, how="inner").select("file", "p", "dir", F.explode("ms").alias("m")).select("m.module", "m.roots", "file", "p", "dir")
     if rooted:
         met = met.filter((F.size("roots") == 0) | F.exists("roots", lambda r: F.startswith(F.col("p"), F.concat("dir", F.lit("/"), r, F.lit("/")))))
@@ -68,18 +73,18 @@ def module_members(nodes: DataFrame, modules: tuple[str, ...], files: tuple[str,
 
 
 def native_bridges(nodes: DataFrame) -> DataFrame:
-    """``module, target``: native directories of modules and directories of build targets where one holds the other.
+    """``module, target``: native directories of modules and directories of build targets of one graph where one holds the other.
 
     A native directory counts from its module's path. Two equality joins over the directories above
     each side take the place of a join on prefixes.
     """
-    native = nodes.filter((F.col("src_path") != "") & (F.size("native_dirs") > 0)).select(F.col("id").alias("module"), F.explode("native_dirs").alias("d"), slashes("src_path").alias("p"))
-    native = native.select("module", F.regexp_replace(F.concat("p", F.lit("/"), slashes("d")), "/+$", "").alias("nd")).distinct()
+    native = nodes.filter((F.col("src_path") != "") & (F.size("native_dirs") > 0)).select(F.col("id").alias("module"), "graph_id", F.explode("native_dirs").alias("d"), slashes("src_path").alias("p"))
+    native = native.select("module", "graph_id", F.regexp_replace(F.concat("p", F.lit("/"), slashes("d")), "/+$", "").alias("nd")).distinct()
     file = F.regexp_replace(F.split(F.regexp_replace("id", "^//", ""), ":")[0], "/?[^/]*$", "")
-    targets = nodes.filter(F.col("type").isin("shared_library", "static_library", "executable", "target") & F.col("id").startswith("//")).select(F.col("id").alias("target"), F.concat(F.lit("/ws/"), file).alias("td"))
+    targets = nodes.filter(F.col("type").isin("shared_library", "static_library", "executable", "target") & F.col("id").startswith("//")).select(F.col("id").alias("target"), "graph_id", F.concat(F.lit("/ws/"), file).alias("td"))
     self_and_up = lambda c: F.concat(F.transform(ancestors(F.col(c)), lambda x: x["dir"]), F.array(F.col(c)))
-    down = native.select("module", F.explode(self_and_up("nd")).alias("td")).join(targets, "td").select("module", "target")
-    up = targets.select("target", F.explode(self_and_up("td")).alias("nd")).join(native, "nd").select("module", "target")
+    down = native.select("module", "graph_id", F.explode(self_and_up("nd")).alias("td")).join(targets, ["graph_id", "td"]).select("module", "target")
+    up = targets.select("target", "graph_id", F.explode(self_and_up("td")).alias("nd")).join(native, ["graph_id", "nd"]).select("module", "target")
     return down.unionByName(up).distinct()
 
 
@@ -114,6 +119,30 @@ def merged_nodes(nodes: DataFrame, namespaces: DataFrame, main: str) -> DataFram
     return known.select(moved.alias("id"), "type", "graph_id", F.col("id").alias("orig_id"))
 
 
+def merged_edges(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame, main: str) -> DataFrame:
+    """``source, target, kind, link_class`` of the merged graph, with the ids of :func:`merged_nodes`.
+
+    Edges keep their kind (``local``); each node that stands for another graph depends on that
+    graph's roots, which nothing points at (``cross_graph``). Ends that are no node of a merged
+    graph stay as they are. Targets are uneven: their lookup treats heavy ones apart.
+    """
+    new = cut(merged_nodes(nodes, namespaces, main).select("orig_id", F.col("id").alias("new"), "graph_id"))
+    ids = new.select("orig_id", "new")
+    e = split_lookup(edges.select("source", "target", "kind"), ids.select(F.col("orig_id").alias("target"), F.col("new").alias("t")), "target")
+    e = split_lookup(e, ids.select(F.col("orig_id").alias("source"), F.col("new").alias("s")), "source")
+    local = e.select(F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target"), "kind", F.lit("local").alias("link_class"))
+    roots = new.join(edges.select(F.col("target").alias("orig_id")), "orig_id", "left_anti").select(F.col("graph_id").alias("child_graph_id"), F.col("new").alias("target"))
+    proxies = nodes.filter("child_graph_id <> ''").select(F.col("id").alias("orig_id"), "child_graph_id").join(ids, "orig_id", "left").select(F.coalesce("new", "orig_id").alias("source"), "child_graph_id")
+    cross = proxies.join(roots, "child_graph_id").select("source", "target", F.lit("depends_on").alias("kind"), F.lit("cross_graph").alias("link_class"))
+    return local.unionByName(cross)
+
+
+def merged_graph(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame, main: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id, type, graph_id, orig_id``) and edges of the merged graph; nodes without graph are shared and keep their ids."""
+    shared = nodes.filter("graph_id is null").select("id", "type", "graph_id", F.col("id").alias("orig_id"))
+    return merged_nodes(nodes, namespaces, main).unionByName(shared), merged_edges(nodes, edges, namespaces, main)
+
+
 def cross_graph_edges(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Each node that stands for another graph depends on the roots (nothing points at them) of that graph."""
     roots = nodes.filter("graph_id is not null").select("graph_id", "id").join(edges.select(F.col("target").alias("id")), "id", "left_anti").select(F.col("graph_id").alias("child_graph_id"), F.col("id").alias("root"))
@@ -236,8 +265,8 @@ def dependency_specs(nodes: DataFrame) -> DataFrame:
 
 
 def first_by_path(nodes: DataFrame) -> DataFrame:
-    """``path, id``: of the nodes of one path the first by ``seq``."""
-    return nodes.filter("src_path is not null").groupBy(slashes("src_path").alias("path")).agg(F.min_by("id", "seq").alias("id"))
+    """``graph_id, path, id``: of the nodes of one path in one graph the first by ``seq``."""
+    return nodes.filter("src_path is not null").groupBy("graph_id", slashes("src_path").alias("path")).agg(F.min_by("id", "seq").alias("id"))
 
 
 def merged_attributes(rows: DataFrame, key: str, order: str, lists: tuple[str, ...], scalars: tuple[str, ...], flags: tuple[str, ...] = ()) -> DataFrame:
@@ -262,3 +291,26 @@ def attach_resolved(nodes: DataFrame, resolved: DataFrame) -> DataFrame:
     """Nodes with the graph and path of their resolved dependency; ``resolved(id, child_graph_id, resolved_path)``."""
     new = resolved.select("id", F.col("child_graph_id").alias("__g"), "resolved_path")
     return nodes.join(new, "id", "left").withColumn("child_graph_id", F.coalesce("child_graph_id", "__g")).drop("__g")
+
+
+def import_edges(imports: DataFrame, kind: str = "import", placeholder: str = "//external:") -> DataFrame:
+    """``source, target, kind, confidence``: what a file imports as edges; ``imports(file, module, target)``.
+
+    A module that is no file becomes a placeholder, of half the confidence. Repeated imports give one edge.
+    """
+    known = F.col("target").isNotNull()
+    return imports.select(F.col("file").alias("source"), F.when(known, F.col("target")).otherwise(F.concat(F.lit(placeholder), "module")).alias("target"), F.lit(kind).alias("kind"), F.when(known, 1.0).otherwise(0.5).alias("confidence")).distinct()
+
+
+def file_completeness(files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``id, type, name, graph_id``) and ``contains`` edges for files that no node stands for; ``files(graph_id, id)``.
+
+    A file hangs on the nearest node above it, its directory by equality of ids; without one it stays a root.
+    """
+    new = cut(untracked_files(files, nodes).filter("id is not null"))
+    name = F.substring_index("id", "/", -1)
+    kind = F.when(F.lower(name).rlike(r"\.(c|cc|cpp|cxx|java|js|ts|ets|py)$"), "code").when(F.lower(name).rlike(r"\.(h|hh|hpp|hxx)$"), "project_header").when(F.lower(name).rlike(r"\.(json|json5|xml|txt|cmake)$"), "config").when(name.rlike("^(?i:licen[sc]e|copying)"), "license").otherwise("asset")
+    made = new.select("id", kind.alias("type"), name.alias("name"), "graph_id")
+    above = new.select("id", F.explode(ancestors(F.col("id"))).alias("x")).select("id", "x.depth", F.col("x.dir").alias("up"))
+    best = above.join(nodes.select(F.col("id").alias("up")), "up").groupBy("id").agg(F.max_by("up", "depth").alias("source"))
+    return made, best.select("source", F.col("id").alias("target"), F.lit("contains").alias("kind"))

@@ -323,28 +323,6 @@ def dead_code_main_graph(spark: SparkSession, d: str) -> DataFrame:
     return project.dead_code(g.nodes, g.edges, main.graph_id if main else "").select("id")
 
 
-_ASSETS, _GOALS = ("config", "license"), ("artifact", "shared_library", "static_library", "executable", "module")
-
-
-@query(
-    f""" ed AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE source <> target), wk(o, id, h) AS (SELECT id, id, 0 FROM g_nodes WHERE type IN {sql_list(_ASSETS)} UNION SELECT wk.o, e.b, wk.h + 1 FROM wk JOIN ed e ON e.a = wk.id WHERE wk.h < 4)
- SELECT o AS asset, id AS artifact, CAST(min(h) AS INTEGER) AS hops FROM wk WHERE h > 0 AND id IN (SELECT id FROM g_nodes WHERE type IN {sql_list(_GOALS)}) AND id <> o GROUP BY o, id"""
-)
-def asset_artifact_map(spark: SparkSession, d: str) -> DataFrame:
-    """Configurations and licenses with the artifacts they lead to within four hops."""
-    g = graph(spark, d)
-    return project.asset_artifacts(g.nodes, g.edges, _ASSETS, _GOALS, 4)
-
-
-@query(
-    f""" ed AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE source <> target), wk(o, id, h) AS (SELECT id, id, 0 FROM g_nodes WHERE type IN {sql_list(_ASSETS)} UNION SELECT wk.o, e.b, wk.h + 1 FROM wk JOIN ed e ON e.a = wk.id WHERE wk.h < 4),
- m AS (SELECT DISTINCT o, id FROM wk WHERE h > 0 AND id IN (SELECT id FROM g_nodes WHERE type IN {sql_list(_GOALS)}) AND id <> o)
- SELECT id AS artifact, count(*) AS assets FROM m GROUP BY id"""
-)
-def artifact_summary(spark: SparkSession, d: str) -> DataFrame:
-    return asset_artifact_map(spark, d).groupBy("artifact").agg(F.count(F.lit(1)).alias("assets"))
-
-
 _EXPORT_ASSETS = ("asset", "code", "header", "project_header", "system_header", "source")
 _EXPORT_GOALS = ("shared_library", "static_library", "executable", "module", "hap", "har", "hsp", "target")
 _EXPORTED = f""" ed AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WHERE source <> target), wk(o, id) AS (SELECT id, id FROM g_nodes WHERE type IN {sql_list(_EXPORT_ASSETS)} UNION SELECT wk.o, e.b FROM wk JOIN ed e ON e.a = wk.id),
@@ -352,15 +330,15 @@ _EXPORTED = f""" ed AS (SELECT DISTINCT source AS a, target AS b FROM g_edges WH
 
 
 @query(f"{_EXPORTED} SELECT asset, artifact FROM m")
-def asset_artifact_export(spark: SparkSession, d: str) -> DataFrame:
+def asset_artifact_map(spark: SparkSession, d: str) -> DataFrame:
     """Files with all artifacts they lead to over any number of hops."""
     g = graph(spark, d)
     return project.asset_artifacts(g.nodes, g.edges, _EXPORT_ASSETS, _EXPORT_GOALS).select("asset", "artifact")
 
 
 @query(f"{_EXPORTED} SELECT artifact, count(*) AS assets FROM m GROUP BY artifact")
-def artifact_export_summary(spark: SparkSession, d: str) -> DataFrame:
-    return asset_artifact_export(spark, d).groupBy("artifact").agg(F.count(F.lit(1)).alias("assets"))
+def artifact_summary(spark: SparkSession, d: str) -> DataFrame:
+    return asset_artifact_map(spark, d).groupBy("artifact").agg(F.count(F.lit(1)).alias("assets"))
 
 
 # --- package graph -------------------------------------------------------------------------
@@ -399,23 +377,6 @@ def direct_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("a").alias("dependencies"), F.sum("b").alias("dependents"))
 
 
-_NATIONS = "nk AS (SELECT DISTINCT 'n' || s_nationkey AS src, 'n' || c_nationkey AS dst FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_linenumber = 1{cond})"
-
-
-def nations(spark: SparkSession, d: str, acyclic: bool) -> DataFrame:
-    """Supplier nations to customer nations of the first lines of all orders: a small dense graph, acyclic if asked for."""
-    line, supplier, orders, customer = (read(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer"))
-    rows = line.filter("l_linenumber = 1").join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey"))
-    rows = rows.filter("s_nationkey < c_nationkey") if acyclic else rows
-    return rows.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst")).distinct()
-
-
-@query(f"WITH RECURSIVE {_NATIONS.format(cond=' AND s_nationkey < c_nationkey')}, nn AS (SELECT src AS id FROM nk UNION SELECT dst FROM nk), lv(id, l) AS (SELECT id, 0 FROM nn WHERE id NOT IN (SELECT dst FROM nk) UNION SELECT nk.dst, lv.l + 1 FROM lv JOIN nk ON nk.src = lv.id) SELECT id, CAST(max(l) AS INTEGER) AS level FROM lv GROUP BY id", on="")
-def topological_levels(spark: SparkSession, d: str) -> DataFrame:
-    pairs = nations(spark, d, True)
-    return reach.levels(pairs, package_nodes(pairs))
-
-
 _MUTUAL = ", up(s, t) AS (SELECT src, dst FROM pk UNION SELECT up.s, pk.dst FROM up JOIN pk ON pk.src = up.t), mu AS (SELECT a.s AS id, least(a.s, min(a.t)) AS component FROM up a JOIN up b ON b.s = a.t AND b.t = a.s WHERE a.s <> a.t GROUP BY a.s)"
 _NAMED = _MUTUAL + ", cl AS (SELECT component, 'scc:' || substr(sha256(string_agg(id, ',' ORDER BY id)), 1, 16) AS cluster FROM mu GROUP BY component), cm AS (SELECT id, component, cluster FROM mu JOIN cl USING (component))"
 
@@ -445,15 +406,6 @@ def condensation_members(spark: SparkSession, d: str) -> DataFrame:
     return reach.condensation(pairs, package_nodes(pairs))[0]
 
 
-@query(
-    f"""WITH {_NATIONS.format(cond='')} SELECT a.src || ',' || b.src AS cycle, 2 AS length FROM nk a JOIN nk b ON b.src = a.dst AND b.dst = a.src WHERE a.src < b.src UNION ALL SELECT src, 1 FROM nk WHERE src = dst
- UNION ALL SELECT a.src || ',' || b.src || ',' || c.src, 3 FROM nk a JOIN nk b ON b.src = a.dst JOIN nk c ON c.src = b.dst AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src""",
-    on="",
-)
-def short_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return reach.simple_cycles(nations(spark, d, False), 3)
-
-
 @query(f"WITH RECURSIVE {_PAIR}{_MUTUAL} SELECT (SELECT count(*) FROM mu) + (SELECT count(*) FROM pk WHERE src = dst) > 0 AS has_cycle, (SELECT count(DISTINCT component) FROM mu) AS components", on="")
 def cycle_report(spark: SparkSession, d: str) -> DataFrame:
     pairs = packages(spark, d)
@@ -462,35 +414,22 @@ def cycle_report(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(loops).select(((F.col("components") + F.col("loops")) > 0).alias("has_cycle"), "components")
 
 
-@query()
+@query(f"WITH RECURSIVE {_PAIR}, bo AS (SELECT src, dst FROM pk WHERE src <> dst UNION SELECT dst, src FROM pk WHERE src <> dst), wc(s, t) AS (SELECT src, dst FROM bo UNION SELECT wc.s, bo.dst FROM wc JOIN bo ON bo.src = wc.t) SELECT s AS id, min(t) AS component FROM wc GROUP BY s", on="")
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     return reach.weak_components(packages(spark, d))
 
 
-_ENDS = "ends AS (SELECT min(src) AS a, max(dst) AS b FROM nk)"
-
-
 @query(
-    f"""WITH RECURSIVE {_NATIONS.format(cond='')}, {_ENDS}, w(id, h, path) AS (SELECT a, 0, a FROM ends UNION ALL SELECT nk.dst, w.h + 1, w.path || ',' || nk.dst FROM w JOIN nk ON nk.src = w.id WHERE w.h < 4 AND nk.src <> nk.dst AND w.id <> (SELECT b FROM ends))
- SELECT path, CAST(h AS INTEGER) AS hops FROM w WHERE id = (SELECT b FROM ends) ORDER BY h, string_split(path, ',') LIMIT 1""",
-    on="",
-)
-def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    pairs = nations(spark, d, False)
-    ends = pairs.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    return reach.shortest_path(pairs.filter("src <> dst"), ends.a or "", ends.b or "")
-
-
-@query(
-    rf"""WITH RECURSIVE {_PAIR}, leaf AS (SELECT id FROM pn WHERE id NOT IN (SELECT src FROM pk)), up(o, id, h) AS (SELECT id, id, 0 FROM (SELECT min(id) AS id FROM leaf UNION SELECT max(id) FROM leaf) UNION SELECT up.o, pk.src, up.h + 1 FROM up JOIN pk ON pk.dst = up.id WHERE up.h < 100),
+    rf"""WITH RECURSIVE {_PAIR}, top AS (SELECT src FROM pk WHERE src <> dst GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), leaf AS (SELECT dst AS id FROM pk WHERE src = (SELECT src FROM top) AND src <> dst), up(o, id, h) AS (SELECT id, id, 0 FROM (SELECT min(id) AS id FROM leaf UNION SELECT max(id) FROM leaf) UNION SELECT up.o, pk.src, up.h + 1 FROM up JOIN pk ON pk.dst = up.id WHERE up.h < 100),
  m AS (SELECT o, id, min(h) AS h FROM up GROUP BY o, id) SELECT a.id AS ancestor, CAST(a.h AS INTEGER) AS hops_first, CAST(b.h AS INTEGER) AS hops_second FROM m a JOIN m b ON a.id = b.id WHERE a.o = (SELECT min(id) FROM leaf) AND b.o = (SELECT max(id) FROM leaf) ORDER BY a.h + b.h, a.id LIMIT 1""",
     on="",
 )
 def common_ancestor(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first and the last package that has no dependencies."""
-    pairs = packages(spark, d)
-    leaves = package_nodes(pairs).join(pairs.select(F.col("src").alias("id")), "id", "left_anti").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
-    return reach.common_ancestor(pairs, leaves.a or "", leaves.b or "")
+    """Of the first and the last dependency of the package with the most of them."""
+    pairs = packages(spark, d).filter("src <> dst")
+    top = pairs.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select("src")
+    ends = pairs.join(top, "src", "left_semi").agg(F.min("dst").alias("a"), F.max("dst").alias("b")).first()
+    return reach.common_ancestor(pairs, ends.a or "", ends.b or "")
 
 
 @query(

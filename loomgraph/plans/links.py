@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import graph as G
 from ..functions import names as N
-from ..operators import build, reach
+from ..operators import build, project, reach
 from ..operators import linking as L
+from ..session import cut
 from ..sources import graphfiles, manifests
 from ..tables import read
 from .graphs import _KEY, EDGES, NODES, graph, packages
@@ -17,11 +18,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, with_graph: bool = True):
+def query(sql: str | None = None, with_graph: bool = True, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = (f"WITH {NODES}, {EDGES}" + ("" if sql.lstrip().upper().startswith("SELECT") else ",") + f" {sql}") if with_graph else sql
+            SQL[f.__name__] = (f"WITH {'RECURSIVE ' * recursive}{NODES}, {EDGES}" + ("" if sql.lstrip().upper().startswith("SELECT") else ",") + f" {sql}") if with_graph else sql
         return f
 
     return add
@@ -75,9 +76,9 @@ def module_source_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """ nd AS (SELECT DISTINCT id AS module, regexp_replace(replace(src_path, chr(92), '/') || '/' || replace(d, chr(92), '/'), '/+$', '') AS nd FROM (SELECT id, src_path, unnest(native_dirs) AS d FROM g_nodes WHERE src_path <> '')),
- td AS (SELECT id AS target, '/ws/' || regexp_replace(string_split(regexp_replace(id, '^//', ''), ':')[1], '/?[^/]*$', '') AS td FROM g_nodes WHERE type IN ('shared_library', 'static_library', 'executable', 'target') AND starts_with(id, '//'))
- SELECT DISTINCT module, target FROM nd JOIN td ON nd = td OR starts_with(nd, td || '/') OR starts_with(td, nd || '/')"""
+    """ nd AS (SELECT DISTINCT id AS module, graph_id, regexp_replace(replace(src_path, chr(92), '/') || '/' || replace(d, chr(92), '/'), '/+$', '') AS nd FROM (SELECT id, graph_id, src_path, unnest(native_dirs) AS d FROM g_nodes WHERE src_path <> '')),
+ td AS (SELECT id AS target, graph_id, '/ws/' || regexp_replace(string_split(regexp_replace(id, '^//', ''), ':')[1], '/?[^/]*$', '') AS td FROM g_nodes WHERE type IN ('shared_library', 'static_library', 'executable', 'target') AND starts_with(id, '//'))
+ SELECT DISTINCT module, target FROM nd JOIN td ON nd.graph_id = td.graph_id AND (nd = td OR starts_with(nd, td || '/') OR starts_with(td, nd || '/'))"""
 )
 def native_bridges(spark: SparkSession, d: str) -> DataFrame:
     return L.native_bridges(graph(spark, d).nodes)
@@ -129,6 +130,49 @@ def cross_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return L.cross_graph_edges(g.nodes, g.edges, _namespaces(g.nodes))
 
 
+_MERGED = f""" {_NSQ}, mg AS (SELECT CASE WHEN graph_id = (SELECT min(graph_id) FROM ns) THEN id ELSE {_PREF.format(c='id')} END AS new, id, type, graph_id FROM g_nodes JOIN ns USING (graph_id)),
+ m_nodes AS (SELECT new AS id, type, graph_id FROM mg UNION ALL SELECT id, type, graph_id FROM g_nodes WHERE graph_id IS NULL),
+ m_edges AS (SELECT coalesce(s.new, e.source) AS source, coalesce(t.new, e.target) AS target, kind, 'local' AS link_class FROM g_edges e LEFT JOIN mg s ON s.id = e.source LEFT JOIN mg t ON t.id = e.target
+  UNION ALL SELECT coalesce(q.new, p.id), r.new, 'depends_on', 'cross_graph' FROM g_nodes p LEFT JOIN mg q ON q.id = p.id JOIN mg r ON r.graph_id = p.child_graph_id WHERE p.child_graph_id <> '' AND r.id NOT IN (SELECT target FROM g_edges))"""
+
+
+def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = graph(spark, d)
+    spaces = cut(_namespaces(g.nodes))
+    main = spaces.agg(F.min("graph_id").alias("g")).first().g
+    return L.merged_graph(g.nodes, g.edges, spaces, main or "")
+
+
+@query(f"{_MERGED} SELECT source, target, kind, link_class FROM m_edges")
+def merged_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge of the merged graph between rewritten ids, those across graphs among them."""
+    return _merged(spark, d)[1]
+
+
+@query(
+    f"{_MERGED}, al(id) AS (SELECT id FROM m_nodes WHERE type IN ('hap', 'har', 'hsp', 'executable') UNION SELECT b FROM al JOIN (SELECT source AS a, target AS b FROM m_edges UNION ALL SELECT target, source FROM m_edges WHERE kind = 'contains') x ON x.a = al.id)"
+    " SELECT DISTINCT id, type FROM m_nodes WHERE id NOT IN (SELECT id FROM al)",
+    recursive=True,
+)
+def merged_dead_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the merged graph that no entry point of any graph reaches."""
+    nodes, edges = _merged(spark, d)
+    return project.dead_code(nodes, cut(edges)).select("id", "type").distinct()
+
+
+@query()
+def merged_acyclic_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The merged graph with each strong component hung under a cluster, as an export writes it."""
+    edges = _merged(spark, d)[1].select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind")
+    return reach.break_cycles(cut(edges.distinct()))
+
+
+@query(f"{_MERGED} SELECT coalesce(graph_id, '') AS graph_id, type, count(*) AS nodes FROM m_nodes GROUP BY ALL")
+def export_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata of an export of the merged graph: its nodes by graph and type."""
+    return _merged(spark, d)[0].groupBy(F.coalesce("graph_id", F.lit("")).alias("graph_id"), "type").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query(
     r""" pk AS (SELECT DISTINCT lower(trim(parent_id)) AS src, lower(trim(child_id)) AS dst FROM dag_edges WHERE parent_id IS NOT NULL AND child_id IS NOT NULL)
  SELECT DISTINCT dst AS child_graph, src AS parent_graph, id AS proxy FROM pk JOIN g_nodes ON lower(graph_id) = src AND lower(child_graph_id) = dst"""
@@ -182,10 +226,26 @@ def license_attachment(spark: SparkSession, d: str) -> DataFrame:
     return L.license_attachment(g.nodes, g.edges)
 
 
-@query(" SELECT DISTINCT graph_id, " + _KEY.format(c="path") + " AS id FROM files WHERE path IS NOT NULL AND " + _KEY.format(c="path") + " NOT IN (SELECT id FROM g_nodes)")
-def untracked_files(spark: SparkSession, d: str) -> DataFrame:
+_SEEN = f"seen AS (SELECT graph_id, {_KEY.format(c='path')} AS id FROM files WHERE path IS NOT NULL UNION SELECT NULL, {_KEY.format(c='node_id')} FROM licenses WHERE node_id IS NOT NULL)"
+
+
+def _seen_files(spark: SparkSession, d: str) -> DataFrame:
+    """``graph_id, id`` of all files that the scan or the license scanner has met."""
     f = read(spark, d, "files").filter("path is not null").select("graph_id", G.canonical_id("path").alias("id"))
-    return L.untracked_files(f, graph(spark, d).nodes)
+    return f.unionByName(read(spark, d, "licenses").filter("node_id is not null").select(F.lit(None).cast("string").alias("graph_id"), G.canonical_id("node_id").alias("id")))
+
+
+@query(f" {_SEEN} SELECT DISTINCT graph_id, id FROM seen WHERE id NOT IN (SELECT id FROM g_nodes)")
+def untracked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a scanner has met and no node stands for."""
+    return L.untracked_files(_seen_files(spark, d), graph(spark, d).nodes)
+
+
+@query()
+def completed_files(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes made for files that no node stands for, with the node that holds each."""
+    made, held = L.file_completeness(_seen_files(spark, d), graph(spark, d).nodes)
+    return made.join(held.select(F.col("target").alias("id"), F.col("source").alias("holder")), "id", "left")
 
 
 @query(
@@ -298,6 +358,16 @@ def resolved_modules(spark: SparkSession, d: str) -> DataFrame:
     return L.resolve_modules(both, every)
 
 
+@query()
+def import_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of scripts and includes of C files as edges of the graph."""
+    resolved = resolved_modules(spark, d)
+    modules = js_imports(spark, d).select("file", "module").unionByName(ets_imports(spark, d)).distinct()
+    scripts = L.import_edges(modules.join(resolved, ["file", "module"], "left"))
+    found = resolved_includes(spark, d).select("file", F.col("include").alias("module"), F.when(~F.col("target").startswith("//include:"), F.col("target")).alias("target"))
+    return scripts.unionByName(L.import_edges(found, "include", "//include:"))
+
+
 # --- manifests -----------------------------------------------------------------------------
 
 
@@ -357,7 +427,7 @@ def dependency_specs(spark: SparkSession, d: str) -> DataFrame:
     return L.dependency_specs(graph(spark, d).nodes)
 
 
-@query(" SELECT replace(src_path, chr(92), '/') AS path, arg_min(id, seq) AS id FROM g_nodes WHERE src_path IS NOT NULL GROUP BY 1")
+@query(" SELECT graph_id, replace(src_path, chr(92), '/') AS path, arg_min(id, seq) AS id FROM g_nodes WHERE src_path IS NOT NULL GROUP BY 1, 2")
 def first_by_path(spark: SparkSession, d: str) -> DataFrame:
     return L.first_by_path(graph(spark, d).nodes)
 

@@ -255,7 +255,7 @@ def test_assets_lead_to_artifacts_at_any_distance(spark, tmp_path):
     spark.createDataFrame([tuple(r.get(c) for c in node.names) for r in rows], node).write.parquet(f"{tmp_path}/nodes.parquet")
     rows = [{"seq": i, "source": a, "target": b, "kind": "depends_on"} for i, (a, b) in enumerate(links)]
     spark.createDataFrame([tuple(r.get(c) for c in edge.names) for r in rows], edge).write.parquet(f"{tmp_path}/edges.parquet")
-    got = {tuple(r) for r in entry.queries()["asset_artifact_export"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in entry.queries()["asset_artifact_map"](spark, str(tmp_path)).collect()}
     assert got == {("a0", "far"), ("h", "near")}
 
 

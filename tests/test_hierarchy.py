@@ -79,5 +79,5 @@ def test_size_estimates_stay_flat_over_many_rounds(spark):
         new = cut(df.join(df.selectExpr("node as anc", "anc as a2"), "anc").selectExpr("node", "a2 as anc"))
         release(df)
         df = new
-        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
     assert max(sizes) <= 24
