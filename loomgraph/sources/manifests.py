@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import node_key
+
 
 def _facts(files: DataFrame, names: tuple[str, ...], parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
     """Facts of the distinct texts of files with these names; texts that can't be read give none."""
@@ -200,3 +202,54 @@ def cmake_targets(files: DataFrame) -> DataFrame:
     Facts: project, target, alias_of, sources, link_libraries, include_dirs, external_library, subdirectory.
     """
     return _facts(files, ("CMakeLists.txt",), _cmake, "fact string, subject string, kind string, object string")
+
+
+def config_kind(path: Column | str) -> Column:
+    """What a build file of the JSON5 kind is: build_profile, module, package, lock or tool; null for all others."""
+    name = F.substring_index(node_key(path), "/", -1)
+    return (
+        F.when(name == "build-profile.json5", "build_profile").when(name.isin("module.json5", "module.json"), "module")
+        .when(name == "oh-package.json5", "package").when(name == "oh-package-lock.json5", "lock").when(name == "hvigor-config.json5", "tool")
+    )
+
+
+def _profile(text: str) -> Iterator[tuple]:
+    data = json.loads(strict_json(text))
+    for m in data.get("modules") or [] if isinstance(data, dict) else []:
+        if isinstance(m, dict) and isinstance(m.get("name"), str):
+            option = m.get("buildOption") if isinstance(m.get("buildOption"), dict) else {}
+            native = option.get("externalNativeOptions") if isinstance(option.get("externalNativeOptions"), dict) else {}
+            yield m["name"], str(m.get("srcPath") or m["name"]), native.get("path") if isinstance(native.get("path"), str) else None
+
+
+def build_profiles(files: DataFrame) -> DataFrame:
+    """``path, name, src_path, native_path`` of the modules that build-profile.json5 files list."""
+    return _facts(files, ("build-profile.json5",), _profile, "name string, src_path string, native_path string")
+
+
+def _module(text: str) -> Iterator[tuple]:
+    data = json.loads(strict_json(text))
+    m = data.get("module") if isinstance(data, dict) else None
+    if isinstance(m, dict):
+        yield m.get("name") if isinstance(m.get("name"), str) else None, m.get("type") if isinstance(m.get("type"), str) else None, m.get("srcEntry") if isinstance(m.get("srcEntry"), str) else None
+
+
+def module_configs(files: DataFrame) -> DataFrame:
+    """``path, name, kind, entry`` of module.json5 and module.json files."""
+    return _facts(files, ("module.json5", "module.json"), _module, "name string, kind string, entry string")
+
+
+def _globs(text: str) -> Iterator[tuple]:
+    for command, arguments in cmake_commands(text):
+        if command == "file" and len(arguments) > 2 and arguments[0].upper() in ("GLOB", "GLOB_RECURSE"):
+            skip = 0
+            for i, pattern in enumerate(arguments[2:], 2):
+                if skip or pattern.upper() in ("CONFIGURE_DEPENDS", "LIST_DIRECTORIES", "RELATIVE"):
+                    skip = 0 if skip else int(pattern.upper() in ("LIST_DIRECTORIES", "RELATIVE"))
+                    continue
+                yield arguments[1], re.sub(r"^\$\{CMAKE(_CURRENT)?_(SOURCE|LIST)_DIR\}/", "", pattern), arguments[0].upper() == "GLOB_RECURSE"
+
+
+def cmake_globs(files: DataFrame) -> DataFrame:
+    """``path, variable, pattern, deep`` of the globs in CMakeLists.txt files; patterns count from the file's folder."""
+    return _facts(files, ("CMakeLists.txt",), _globs, "variable string, pattern string, deep boolean")
