@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import depth, namespaced
 from ..functions.vocab import ARTIFACT_TYPES
-from ..session import cut
+from ..session import cut, release
 from .project import ancestors, slashes
 from .skew import split_lookup
 
@@ -137,6 +137,26 @@ def merged_edges(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame, main
     return local.unionByName(cross)
 
 
+def merged_links(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame, main: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges of :func:`merged_edges`, those across graphs in two factors: local edges (``src, dst, kind``), heads (``src, via``), tails (``via, dst``).
+
+    A head is a node that stands for the graph ``via``, a tail a root of that graph. There is an edge
+    across graphs from each head to each tail of a graph. The pairs grow faster than the tables, the factors don't.
+    """
+    known = split_lookup(nodes, namespaces, "graph_id")
+    moved = F.when(F.col("namespace").isNull() | (F.col("graph_id") == main), F.col("id")).otherwise(namespaced("id", "namespace"))
+    new = cut(known.select("id", moved.alias("new"), "graph_id", "child_graph_id", F.col("namespace").isNotNull().alias("merged")))
+    ids = new.filter("merged").select("id", "new")
+    e = split_lookup(edges.select("source", "target", "kind"), ids.select(F.col("id").alias("target"), F.col("new").alias("t")), "target")
+    e = e.join(ids.select(F.col("id").alias("source"), F.col("new").alias("s")), "source", "left")
+    local = cut(e.select(F.coalesce("s", "source").alias("src"), F.coalesce("t", "target").alias("dst"), "kind"))
+    heads = cut(new.filter("child_graph_id <> ''").select(F.col("new").alias("src"), F.col("child_graph_id").alias("via")).distinct())
+    roots = new.filter("merged").join(heads.select(F.col("via").alias("graph_id")).distinct(), "graph_id", "left_semi").join(edges.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+    tails = cut(roots.select(F.col("graph_id").alias("via"), F.col("new").alias("dst")).distinct())
+    release(new)
+    return local, heads, tails
+
+
 def merged_graph(nodes: DataFrame, edges: DataFrame, namespaces: DataFrame, main: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (``id, type, graph_id, orig_id``) and edges of the merged graph; nodes without graph are shared and keep their ids."""
     shared = nodes.filter("graph_id is null").select("id", "type", "graph_id", F.col("id").alias("orig_id"))

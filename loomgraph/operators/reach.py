@@ -7,20 +7,25 @@ folder, so a lost executor costs one round. ``edges`` have ``src, dst``.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, release, together
 from . import hierarchy
+from .skew import split_lookup
 
 #: Edges of a cyclic core (counted, after trimming) that a task may solve in memory, some tens of MB; larger
 #: cores are coloured on the cluster, with the same result. A bound on memory as of a broadcast: nothing is left out.
 LOCAL_CORE = 500_000
 #: What is seen is kept as the frontiers of so many rounds, then put together.
 PARTS = 24
+#: Pairs of two factors that a task multiplies out.
+PAIRS = 250_000
+#: Begins the id of a node put between the two factors; ids of nodes have no blanks around them.
+HUB = " "
 
 
 def _one(seen: list[DataFrame]) -> DataFrame:
@@ -113,12 +118,13 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _core(pairs: DataFrame, trims: int) -> DataFrame:
-    """Edges left after taking away, again and again, nodes that nothing enters or leaves."""
+    """Edges left after taking away, again and again, nodes that nothing enters or leaves; the files of ``pairs`` go with that."""
     size = pairs.count()
     for _ in range(trims):
         heads, tails = pairs.select(F.col("src").alias("id")).distinct(), pairs.select(F.col("dst").alias("id")).distinct()
         inner = heads.join(tails, "id")
-        pairs = cut(pairs.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        before, pairs = pairs, cut(pairs.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        release(before)
         now = pairs.count()
         if now == size or now <= LOCAL_CORE:
             break
@@ -183,6 +189,7 @@ def strong_components(edges: DataFrame, trims: int = 12, local: int = LOCAL_CORE
     pairs = _core(cut(edges.select("src", "dst").filter("src <> dst").distinct()), trims)
     found: list[DataFrame] = []
     spark = edges.sparkSession
+    kind = pairs.schema["src"].dataType.simpleString()
     while True:
         size = pairs.count()
         if size == 0:
@@ -194,12 +201,12 @@ def strong_components(edges: DataFrame, trims: int = 12, local: int = LOCAL_CORE
                 rows = [(v, min(p)) for p in tarjan(every) if len(p) > 1 for v in p]
                 yield pd.DataFrame(rows, columns=["id", "component"])
 
-            found.append(pairs.coalesce(1).mapInPandas(solve, "id string, component string"))
+            found.append(pairs.coalesce(1).mapInPandas(solve, f"id {kind}, component {kind}"))
             break
         part, pairs = _colour(pairs)
         found.append(part)
         pairs = _core(pairs, trims)
-    out = spark.createDataFrame([], "id string, component string")
+    out = spark.createDataFrame([], f"id {kind}, component {kind}")
     for part in found:
         out = out.unionByName(part)
     return out
@@ -229,6 +236,19 @@ def _colour(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, rest
 
 
+def coded_components(edges: DataFrame, code: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """``id, component`` as :func:`strong_components` groups the nodes, found over codes of the ids; a component's id is any text.
+
+    Nodes that share a code count as one, which can only add cycles through that code. So the components hold if no
+    code in them stands for two ids; that is looked up, and if it isn't so, the ids themselves are used.
+    """
+    parts = cut(strong_components(edges.select(code("src").alias("src"), code("dst").alias("dst"))).select(F.col("id").alias("code"), F.col("component").cast("string").alias("component")))
+    named = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("code", code("id"))
+    named = cut(named.join(parts, "code").select("id", "code", "component"))
+    release(parts)
+    return named.select("id", "component") if named.groupBy("code").count().filter("count > 1").isEmpty() else cut(strong_components(edges))
+
+
 def cluster_ids(components: DataFrame) -> DataFrame:
     """``id, component, cluster``: the cluster id hashes the sorted members, as ``scc:`` and 16 digits."""
     members = components.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("m"))
@@ -276,6 +296,49 @@ def break_cycles(edges: DataFrame) -> DataFrame:
     return marked.select("src", "dst", "kind").unionByName(copies).unionByName(inside)
 
 
+def break_factored_cycles(edges: DataFrame, heads: DataFrame, tails: DataFrame, kind: str, code: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """:func:`break_cycles` of the distinct ``edges`` and of an edge of ``kind`` from each head to each tail of one ``via``.
+
+    ``edges`` have ``src, dst, kind``, ``heads`` ``src, via`` and ``tails`` ``via, dst``, each once; no id begins with a blank. Components are found
+    with a node between the heads and tails of a ``via`` in place of their pairs; clusters join the factors as heads and
+    tails. So pairs are neither stored nor shuffled. Only those that may come twice are made distinct: both ends
+    belong to several ``via``, or both also are ends of local edges of that kind.
+    """
+    hub = F.concat(F.lit(HUB), "via")
+    parts = coded_components(edges.select("src", "dst").unionByName(heads.select("src", hub.alias("dst"))).unionByName(tails.select(hub.alias("src"), "dst")), code)
+    parts = parts.filter(~F.startswith("id", F.lit(HUB)))
+    several = parts.groupBy("component").count().filter("count > 1").select("component")
+    clusters = cut(cluster_ids(cut(parts.join(several, "component", "left_semi"))).select("id", "cluster"))
+    a, b = clusters.select(F.col("id").alias("src"), F.col("cluster").alias("cs")), clusters.select(F.col("id").alias("dst"), F.col("cluster").alias("cd"))
+    marked = split_lookup(edges.select("src", "dst", "kind").filter("src <> dst"), b, "dst").join(a, "src", "left")
+    end = lambda s, d, copy: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), F.lit(copy).alias("copy"))
+    rows = marked.filter("cs is null or cd is null or cs <> cd").select("kind", F.explode(F.array(end("src", "dst", False), end("src", "cd", True), end("cs", "dst", True), end("cs", "cd", True))).alias("e"))
+    local = cut(rows.select("e.src", "e.dst", "kind", "e.copy").filter("src is not null and dst is not null"))
+
+    def factor(rows: DataFrame, end: str, cluster: str) -> DataFrame:
+        """``via``, the end, its cluster, whether it is one; whether it may come twice: for several ``via``, or with local edges."""
+        every = rows.select("via", end, cluster, F.lit(False).alias("is_cluster")).unionByName(rows.filter(F.col(cluster).isNotNull()).select("via", F.col(cluster).alias(end), cluster, F.lit(True).alias("is_cluster")).distinct())
+        many = every.groupBy(end).agg((F.count(F.lit(1)) > 1).alias("many"))
+        here = local.filter(F.col("kind") == kind).select(end, F.lit(True).alias("here")).distinct()
+        return cut(every.join(many, end).join(here, end, "left").select("via", end, cluster, "is_cluster", "many", F.coalesce("here", F.lit(False)).alias("here")))
+
+    left, right = factor(heads.join(a, "src", "left"), "src", "cs"), factor(tails.join(b, "dst", "left"), "dst", "cd")
+    sizes = cut(left.groupBy("via").agg(F.count(F.lit(1)).alias("n")).join(right.groupBy("via").agg(F.count(F.lit(1)).alias("m")), "via").select("via", F.least("n", F.ceil(F.col("n") * F.col("m") / PAIRS)).alias("shares"), (F.col("n") * F.col("m")).alias("pairs")))
+    tasks = int((sizes.agg(F.sum("pairs").alias("n")).first().n or 0) // PAIRS) + 1
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of each ``via``; the heads of a large one are dealt out over shares of their own."""
+        dealt = left.join(sizes, "via").withColumn("share", F.pmod(F.xxhash64("src"), "shares")).select("via", "share", "src", "cs", F.col("is_cluster").alias("ls"), F.col("many").alias("ms"), F.col("here").alias("hs"))
+        given = right.join(sizes, "via").select("via", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "dst", "cd", F.col("is_cluster").alias("ld"), F.col("many").alias("md"), F.col("here").alias("hd"))
+        both = dealt.repartition(tasks, "via", "share").join(given.repartition(tasks, "via", "share"), ["via", "share"])
+        return both.filter("(cs is null or cd is null or cs <> cd) and (ls or ld or src <> dst)").withColumns({"kind": F.lit(kind), "copy": F.expr("ls or ld"), "twice": F.expr("ms and md or hs and hd")})
+
+    once = pairs(left, right).filter("not twice").select("src", "dst", "kind")
+    twice = pairs(left.filter("many or here"), right.filter("many or here")).filter("twice").select("src", "dst", "kind", "copy")
+    inside = clusters.select(F.col("cluster").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("kind"))
+    return local.unionByName(twice).distinct().select("src", "dst", "kind").unionByName(once).unionByName(inside)
+
+
 def simple_cycles(edges: DataFrame, longest: int | None = None, limit: int | None = None) -> DataFrame:
     """``cycle, length``: simple cycles of up to ``longest`` nodes (by default of any number), each from its least node on.
 

@@ -9,7 +9,7 @@ from .. import graph as G
 from ..functions import names as N
 from ..operators import build, project, reach
 from ..operators import linking as L
-from ..session import cut
+from ..session import cut, release
 from ..sources import graphfiles, manifests
 from ..tables import read
 from .graphs import _KEY, EDGES, NODES, graph, packages
@@ -162,9 +162,22 @@ def merged_dead_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def merged_acyclic_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The merged graph with each strong component hung under a cluster, as an export writes it."""
-    edges = _merged(spark, d)[1].select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind")
-    return reach.break_cycles(cut(edges.distinct()))
+    """The merged graph with each strong component hung under a cluster, as an export writes it.
+
+    The edges across graphs stay in two factors up to the result. Rows are built without the fields that come after
+    the last one needed: the first row of an id or of a ``seq`` is told by its fields in order.
+    """
+    without = lambda rows, fields: rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in fields})
+    nodes, edges = read(spark, d, "nodes"), read(spark, d, "edges")
+    nodes = cut(G.upsert_nodes(without(nodes, G.NODE_FIELDS[G.NODE_FIELDS.index("child_graph_id") + 1 :])).select("id", "graph_id", "child_graph_id"))
+    edges = cut(G.append_edges(without(edges.repartition("seq"), ("parser_name", "confidence", "derived_from"))).select("source", "target", "kind"))
+    spaces = cut(_namespaces(nodes))
+    main = spaces.agg(F.min("graph_id").alias("g")).first().g
+    local, heads, tails = L.merged_links(nodes, edges, spaces, main or "")
+    release(nodes, edges, spaces)
+    whole = reach.break_factored_cycles(local, heads, tails, "depends_on")
+    release(local, heads, tails)
+    return whole
 
 
 @query(f"{_MERGED} SELECT coalesce(graph_id, '') AS graph_id, type, count(*) AS nodes FROM m_nodes GROUP BY ALL")

@@ -54,16 +54,26 @@ def cut_folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+#: Spark deletes the shuffle files of a statement as soon as it ends where this is on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there.
 
     The copy survives the loss of executors, and the plan over it knows its true size. A checkpoint
     would keep the size estimated for the plan before it, which multiplies with every join of a
     loop until the driver spends its time and memory on the digits. Loops call this once a round.
+    The shuffle files behind it go at once: nothing reads them after the copy.
     """
     spark = df.sparkSession
     folder = f"{cut_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(folder)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "lz4").parquet(folder)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(folder)
     back._cut_folder = folder
     return back

@@ -1,6 +1,7 @@
 """Graph operators on the small graphs that define them, and against plain loops."""
 
 import random
+from pathlib import Path
 
 import pytest
 from loomgraph import graph as G
@@ -26,6 +27,44 @@ def test_break_cycles_keeps_outer_edges_and_copies_them(spark):
     assert out == {("x", "a", "depends_on"), ("c", "y", "depends_on"), ("x", cluster, "depends_on"), (cluster, "y", "depends_on"), *((cluster, m, "contains") for m in "abc")}
 
 
+@pytest.mark.parametrize("code", [F.xxhash64, F.length])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_factored_cycles_equal_those_of_the_pairs(spark, monkeypatch, code, seed):
+    monkeypatch.setattr(reach, "PAIRS", 3)
+    rng = random.Random(seed)
+    node = lambda n: f"n{'x' * (rng.randrange(n) % 5)}{rng.randrange(n)}"
+    local = [(node(9), node(9), rng.choice(["depends_on", "include"])) for _ in range(14)] + [("n1", "n2", "depends_on")] * 2
+    heads = {(node(9), rng.choice("gh")) for _ in range(8)} | {("n1", "g"), ("n1", "h"), ("n3", "g")}
+    tails = {(rng.choice("gh"), node(9)) for _ in range(8)} | {("g", "n2"), ("h", "n2"), ("g", "n3")}
+    across = [(s, d, "depends_on") for s, v in heads for w, d in tails if v == w]
+    edges = lambda rows: spark.createDataFrame(rows, "src string, dst string, kind string")
+    want = sorted(tuple(r) for r in reach.break_cycles(edges(local + across).distinct()).collect())
+    got = reach.break_factored_cycles(edges(local), spark.createDataFrame(list(heads), "src string, via string"), spark.createDataFrame(list(tails), "via string, dst string"), "depends_on", code)
+    assert sorted(tuple(r) for r in got.select("src", "dst", "kind").collect()) == want
+
+
+def test_merged_acyclic_edges_stores_no_pairs_across_graphs(spark, tmp_path):
+    import __spark_entry__ as entry
+    import pyarrow.parquet as pq
+    from loomgraph.session import cut_folder
+
+    n = 300
+    rows = [(i, f"//m/p{i}", "g1", "g2") for i in range(n)] + [(n + i, f"//d/r{i}", "g2", None) for i in range(n)]
+    texts = ("src_path", "name", "parser_name", "external_graph_id")
+    nodes = spark.createDataFrame(rows, "seq long, id string, graph_id string, child_graph_id string").withColumns({c: F.lit(None).cast("string") for c in texts})
+    nodes = nodes.withColumns({c: F.lit(None).cast("array<string>") for c in ("include_dirs", "native_dirs", "source_roots")}).withColumns({"type": F.lit("code"), "confidence": F.lit(1.0), "ingested_at": F.timestamp_seconds("seq")})
+    nodes.write.parquet(f"{tmp_path}/nodes.parquet")
+    edges = spark.sql("select 1L as seq, 'g2' as graph_id, '//d/r0' as source, '//m/p0' as target, 'import' as kind, cast(null as string) as parser_name, 1.0D as confidence, cast(null as array<string>) as derived_from, timestamp_seconds(1) as ingested_at")
+    edges.write.parquet(f"{tmp_path}/edges.parquet")
+    files = lambda: {f: pq.read_metadata(f).num_rows for f in Path(cut_folder(spark).removeprefix("file:")).rglob("*.parquet")}
+    before = files()
+    out = entry.queries()["merged_acyclic_edges"](spark, str(tmp_path))
+    stored = {f: k for f, k in files().items() if f not in before}
+    assert stored and max(stored.values()) < 10 * n
+    # all pairs but that of the cycle, copies of the others to and from the cluster, its members
+    assert out.count() == out.distinct().count() == n * n - 1 + 2 * (n - 1) + 2
+
+
 def test_self_loop_is_no_cluster(spark):
     e = pairs(spark, ("solo", "solo"), ("origin", "solo")).withColumn("kind", F.lit("depends_on"))
     assert {tuple(r) for r in reach.break_cycles(e).collect()} == {("origin", "solo", "depends_on")}
